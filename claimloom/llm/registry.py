@@ -1,6 +1,13 @@
 """The subpackage's queries and their SQL."""
 
-from claimloom.llm import dedup
+from claimloom.llm import chat, dedup, tokens
 
-QUERIES = {"op3_exact_dedup": dedup.query}
-ORACLES = {"op3_exact_dedup": dedup.SQL}
+QUERIES = {
+    "op1_chat_format": chat.query,
+    "op3_exact_dedup": dedup.query,
+    "op8_token_counts": tokens.query,
+}
+ORACLES = {
+    "op1_chat_format": chat.SQL,
+    "op3_exact_dedup": dedup.SQL,
+}
