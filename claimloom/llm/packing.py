@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,44 +13,67 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.common import table, tokenizer_path
 
-KEPT_UNITS, KEPT_BYTES = 400_000, 40
+#: Letters, of which each has one lower case character and none composes, and punctuation without the apostrophe.
+LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
-class Encoder(dict):
-    """White-space units of a text to their ids as little-endian bytes, a bounded number of them remembered.
+class Encoder:
+    """White-space units of a text to their ids as little-endian bytes.
 
     For a tokenizer that drops white space and never joins what it parts, a text's ids are its units' ids one after another.
+    Short units are remembered in two generations of `kept` at most: when the young one is full, it takes the old one's place.
     """
 
-    def __init__(self, path: str):
-        super().__init__()
+    def __init__(self, path: str, kept: int = 500_000, short: int = 40):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.kept, self.short = kept, short
 
-    def __missing__(self, unit: bytes) -> bytes:
-        ids = np.array(self.t.encode(unit.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(unit) <= KEPT_BYTES:
-            self[unit] = ids
-        return ids
-
-    def learn(self, units: set[bytes]) -> None:
-        new = [u for u in units if len(u) <= KEPT_BYTES]
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
+    def _library(self, units: list[bytes]) -> None:
+        for lo in range(0, len(units), 10_000):
+            part = units[lo : lo + 10_000]
             found = self.t.encode_batch_fast([u.decode() for u in part], add_special_tokens=False)
-            self.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(part, found, strict=True))
+            self.young.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(part, found, strict=True))
+
+    def _learn(self, missing: set[bytes]) -> None:
+        """Puts every missing unit among the young. One that is letters of Latin-1 and then punctuation is its two parts in lower case."""
+        young, old, apart, fresh = self.young, self.old, [], set()
+        for u in missing:
+            if (v := old.get(u)) is not None:
+                young[u] = v
+            elif (m := LETTERS.fullmatch(u.decode())) and (m[2] or m[1] != m[1].lower()):
+                parts = m[1].lower().encode(), m[2].encode()
+                apart.append((u, *parts))
+                for x in parts:
+                    if x not in young:
+                        if (v := old.get(x)) is not None:
+                            young[x] = v
+                        else:
+                            fresh.add(x)
+            else:
+                fresh.add(u)
+        self._library(list(fresh))
+        young.update((u, young[x] + young[y]) for u, x, y in apart)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [x.encode().split() for x in texts]  # bytes.split() parts at ASCII white space alone
-        missing = set().union(*split).difference(self) if split else set()
-        if len(self) + len(missing) > KEPT_UNITS and len(self):
-            self.clear()
-            missing = set().union(*split)
-        self.learn(missing)
-        return [np.frombuffer(b"".join(map(self.__getitem__, units)), "<u4") for units in split]
+        if len(self.young) > self.kept:
+            self.old, self.young = self.young, {}
+        get = self.young.get
+        found = [list(map(get, units)) for units in split]
+        missing = {u for units, ids in zip(split, found, strict=True) if None in ids for u, v in zip(units, ids, strict=True) if v is None}
+        self._learn(missing)
+        out = [np.frombuffer(b"".join(map(self.young.__getitem__, units) if None in ids else ids), "<u4") for units, ids in zip(split, found, strict=True)]
+        for u in missing:
+            if len(u) > self.short:
+                del self.young[u]
+        return out
 
 
 class Shard:

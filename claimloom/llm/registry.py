@@ -1,10 +1,11 @@
 """The subpackage's queries and their SQL."""
 
-from claimloom.llm import chat, dedup, tokens
+from claimloom.llm import chat, dedup, packing, tokens
 
 QUERIES = {
     "op1_chat_format": chat.query,
     "op3_exact_dedup": dedup.query,
+    "op5_packing": packing.query,
     "op8_token_counts": tokens.query,
 }
 ORACLES = {

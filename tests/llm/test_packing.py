@@ -13,7 +13,7 @@ from claimloom.llm.packing import Encoder, Shard, pack, pack_shard
 def test_units_encode_as_the_library():
     r = random.Random(3)
     abc = list("abZÉßİΣς中😀'’.,;!?0123́ \x85\x1c  \n\t\r\x0b\x0c") + [" ", "word ", " The", "'s", "<|endoftext|>", "  "]
-    texts = ["", " ", "x" * 500, "ΟΔΟΣ ΣΟΦΟΣ", "á ́b"] + ["".join(r.choice(abc) for _ in range(r.randint(1, 400))) for _ in range(200)]
+    texts = ["", " ", "x" * 500, "ΟΔΟΣ ΣΟΦΟΣ", "Été... ÀÉ, Straße!! STRASSE<|endoftext| Thh'... a_b_ A` x<|endoftext|>", "á ́b"] + ["".join(r.choice(abc) for _ in range(r.randint(1, 400))) for _ in range(200)]
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in Encoder(P.path("word_bpe_49k.json")).encode(texts)] == want
