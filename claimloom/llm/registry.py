@@ -1,12 +1,13 @@
 """The subpackage's queries and their SQL."""
 
-from claimloom.llm import chat, dedup, packing, tokens
+from claimloom.llm import chat, dedup, langid, packing, tokens
 
 QUERIES = {
     "op1_chat_format": chat.query,
     "op3_exact_dedup": dedup.query,
     "op5_packing": packing.query,
     "op8_token_counts": tokens.query,
+    "op9_language_id": langid.query,
 }
 ORACLES = {
     "op1_chat_format": chat.SQL,
