@@ -1,15 +1,17 @@
 """The subpackage's queries and their SQL."""
 
-from claimloom.llm import chat, dedup, langid, packing, tokens
+from claimloom.llm import balltree, chat, dedup, langid, packing, tokens
 
 QUERIES = {
     "op1_chat_format": chat.query,
     "op3_exact_dedup": dedup.query,
     "op5_packing": packing.query,
+    "op6_exact_topk": balltree.query,
     "op8_token_counts": tokens.query,
     "op9_language_id": langid.query,
 }
 ORACLES = {
     "op1_chat_format": chat.SQL,
     "op3_exact_dedup": dedup.SQL,
+    "op6_exact_topk": balltree.SQL,
 }
