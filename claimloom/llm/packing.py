@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,21 @@ from claimloom.llm.common import table, tokenizer_path
 LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+def _byte_names() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is printable, else the next from 256 on."""
+    plain, out, n = {*range(33, 127), *range(161, 173), *range(174, 256)}, [], 256
+    for b in range(256):
+        out.append(chr(b if b in plain else n))
+        n += b not in plain
+    return out
+
+
 class Encoder:
     """White-space units of a text to their ids as little-endian bytes.
 
     For a tokenizer that drops white space and never joins what it parts, a text's ids are its units' ids one after another.
-    Short units are remembered in two generations of `kept` at most: when the young one is full, it takes the old one's place.
+    A unit of plain letters and then punctuation is its two parts, in lower case, each of which the model merges by itself.
+    Short units are remembered in two generations of about `kept`: when the young one is full, it takes the old one's place.
     """
 
     def __init__(self, path: str, kept: int = 500_000, short: int = 40):
@@ -31,48 +42,51 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
+        self.model, self.names = self.t.model, _byte_names()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.kept, self.short = kept, short
 
-    def _library(self, units: list[bytes]) -> None:
-        for lo in range(0, len(units), 10_000):
-            part = units[lo : lo + 10_000]
-            found = self.t.encode_batch_fast([u.decode() for u in part], add_special_tokens=False)
-            self.young.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(part, found, strict=True))
+    def _part(self, part: bytes) -> bytes:
+        ids = self.young.get(part) or self.old.get(part)
+        if ids is None:
+            word = part.decode() if part.isascii() else "".join([self.names[b] for b in part])
+            ids = array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
+        self.young[part] = ids
+        return ids
 
     def _learn(self, missing: set[bytes]) -> None:
-        """Puts every missing unit among the young. One that is letters of Latin-1 and then punctuation is its two parts in lower case."""
-        young, old, apart, fresh = self.young, self.old, [], set()
+        young, old, fresh = self.young, self.old, []
         for u in missing:
-            if (v := old.get(u)) is not None:
-                young[u] = v
-            elif (m := LETTERS.fullmatch(u.decode())) and (m[2] or m[1] != m[1].lower()):
-                parts = m[1].lower().encode(), m[2].encode()
-                apart.append((u, *parts))
-                for x in parts:
-                    if x not in young:
-                        if (v := old.get(x)) is not None:
-                            young[x] = v
-                        else:
-                            fresh.add(x)
-            else:
-                fresh.add(u)
-        self._library(list(fresh))
-        young.update((u, young[x] + young[y]) for u, x, y in apart)
+            ids = old.get(u)
+            if ids is None:
+                m = LETTERS.fullmatch(u.decode())
+                if not m:
+                    fresh.append(u)
+                    continue
+                ids = self._part(m[1].lower().encode())
+                if m[2]:
+                    ids += self._part(m[2].encode())
+            young[u] = ids
+        if fresh:
+            found = self.t.encode_batch_fast([u.decode() for u in fresh], add_special_tokens=False)
+            young.update((u, array("I", e.ids).tobytes()) for u, e in zip(fresh, found, strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [x.encode().split() for x in texts]  # bytes.split() parts at ASCII white space alone
         if len(self.young) > self.kept:
             self.old, self.young = self.young, {}
-        get = self.young.get
-        found = [list(map(get, units)) for units in split]
+        young = self.young
+        found = [list(map(young.get, units)) for units in split]
         missing = {u for units, ids in zip(split, found, strict=True) if None in ids for u, v in zip(units, ids, strict=True) if v is None}
         self._learn(missing)
-        out = [np.frombuffer(b"".join(map(self.young.__getitem__, units) if None in ids else ids), "<u4") for units, ids in zip(split, found, strict=True)]
+        out = []
+        for units, ids in zip(split, found, strict=True):
+            whole = b"".join([young[u] if v is None else v for u, v in zip(units, ids, strict=True)] if None in ids else ids)
+            out.append(np.frombuffer(whole, np.uint32))
         for u in missing:
             if len(u) > self.short:
-                del self.young[u]
+                del young[u]
         return out
 
 
@@ -214,8 +228,8 @@ def pack(
         e = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
         ids, held, total, base, end = [], [], 0, 0, np.array([end_id], "<u4")
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
                 if not base:
                     base = part["part"][0].as_py() << 40
                 for i, x in zip(part["doc_id"].to_pylist(), e.encode(part["text"].to_pylist()), strict=True):
