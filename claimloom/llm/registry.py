@@ -1,10 +1,11 @@
 """The subpackage's queries and their SQL."""
 
-from claimloom.llm import balltree, chat, dedup, langid, packing, tokens
+from claimloom.llm import balltree, chat, dedup, langid, packing, pii, tokens
 
 QUERIES = {
     "op1_chat_format": chat.query,
     "op3_exact_dedup": dedup.query,
+    "op4_pii": pii.query,
     "op5_packing": packing.query,
     "op6_exact_topk": balltree.query,
     "op8_token_counts": tokens.query,
