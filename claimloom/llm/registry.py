@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL."""
 
-from claimloom.llm import balltree, chat, dedup, langid, packing, pii, tokens
+from claimloom.llm import balltree, bpe, chat, dedup, langid, packing, pii, tokens
 
 QUERIES = {
     "op1_chat_format": chat.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_pii": pii.query,
     "op5_packing": packing.query,
     "op6_exact_topk": balltree.query,
+    "op7_byte_bpe": bpe.query,
     "op8_token_counts": tokens.query,
     "op9_language_id": langid.query,
 }
