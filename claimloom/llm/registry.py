@@ -1,9 +1,10 @@
 """The subpackage's queries and their SQL."""
 
-from claimloom.llm import balltree, bpe, chat, dedup, langid, packing, pii, tokens
+from claimloom.llm import balltree, bpe, chat, dedup, langid, packing, pii, tokens, warc
 
 QUERIES = {
     "op1_chat_format": chat.query,
+    "op2_warc": warc.query,
     "op3_exact_dedup": dedup.query,
     "op4_pii": pii.query,
     "op5_packing": packing.query,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_chat_format": chat.SQL,
+    "op2_warc": warc.SQL,
     "op3_exact_dedup": dedup.SQL,
     "op6_exact_topk": balltree.SQL,
 }
