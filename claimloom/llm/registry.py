@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL."""
 
-from claimloom.llm import balltree, bpe, chat, dedup, langid, packing, pii, tokens, warc
+from claimloom.llm import balltree, bpe, chat, dedup, jaccard, langid, packing, pii, tokens, warc
 
 QUERIES = {
     "op1_chat_format": chat.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_byte_bpe": bpe.query,
     "op8_token_counts": tokens.query,
     "op9_language_id": langid.query,
+    "op10_jaccard_join": jaccard.query,
 }
 ORACLES = {
     "op1_chat_format": chat.SQL,
