@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +22,11 @@ WITH RECURSIVE bpe(w, pos, tok, done) AS (
     SELECT w, pos, tok, false FROM first
   UNION ALL (
     WITH pairs AS (
-      SELECT w, pos, tok, lead(tok) OVER o AS ntok, lead(pos) OVER o AS npos FROM bpe WHERE NOT done WINDOW o AS (PARTITION BY w ORDER BY pos)),
+      SELECT w, pos, tok, lead(tok) OVER o AS ntok, lag(pos) OVER o AS ppos FROM bpe WHERE NOT done WINDOW o AS (PARTITION BY w ORDER BY pos)),
     best AS (
-      SELECT p.w, min(m.rank * 1048576::BIGINT + p.pos) AS key FROM pairs p JOIN merges m ON m.a = p.tok AND m.b = p.ntok GROUP BY p.w),
-    chosen AS (
-      SELECT p.w, p.pos, p.npos, b.key // 1048576 AS merged FROM pairs p JOIN best b ON b.w = p.w AND b.key % 1048576 = p.pos)
-    SELECT p.w, p.pos, CASE WHEN c.pos = p.pos THEN c.merged::INTEGER ELSE p.tok END, c.w IS NULL
-    FROM pairs p LEFT JOIN chosen c ON c.w = p.w WHERE c.w IS NULL OR p.pos <> c.npos)
+      SELECT p.w, min(m.rank * 1048576::BIGINT + p.pos) AS key FROM pairs p JOIN merges m ON m.a = p.tok AND m.b = p.ntok GROUP BY p.w)
+    SELECT p.w, p.pos, CASE WHEN p.pos = b.key % 1048576 THEN (b.key // 1048576)::INTEGER ELSE p.tok END, b.key IS NULL
+    FROM pairs p LEFT JOIN best b ON b.w = p.w WHERE b.key IS NULL OR p.ppos IS DISTINCT FROM b.key % 1048576)
 )
 SELECT w, list(tok ORDER BY pos) AS ids FROM bpe WHERE done GROUP BY w ORDER BY w
 """
@@ -35,7 +35,7 @@ SELECT w, list(tok ORDER BY pos) AS ids FROM bpe WHERE done GROUP BY w ORDER BY
 class Codec:
     """A vocabulary of ranks in DuckDB: vocab(id, bytes), merges(a, b, rank). A token's id is its rank."""
 
-    def __init__(self, path: str, pattern: str, kept: int = 200_000, short: int = 48):
+    def __init__(self, path: str, pattern: str, kept: int = 450_000, short: int = 48):
         import duckdb
         import regex
 
@@ -48,9 +48,9 @@ class Codec:
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
         self._put("merges", pa.table({"a": a, "b": b, "rank": r}))
         self._put("vocab", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())}))
-        self.byte = [self.ranks[bytes([i])] for i in range(256)]
-        self.young: dict[str, tuple[bytes, int, bytes]] = {}
-        self.old: dict[str, tuple[bytes, int, bytes]] = {}
+        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
         self.kept, self.short = kept, short
 
     def _put(self, name: str, t: pa.Table) -> None:
@@ -63,24 +63,21 @@ class Codec:
         out: list = [[self.ranks[w]] if w in self.ranks else [] for w in words]
         todo = [i for i, x in enumerate(out) if not x and words[i]]
         if todo:
-            w, pos, tok = [], [], []
-            for i in todo:
-                w += [i] * len(words[i])
-                pos += range(len(words[i]))
-                tok += [self.byte[b] for b in words[i]]
-            self._put("first", pa.table({"w": pa.array(w, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(tok, pa.int32())}))
+            size = np.array([len(words[i]) for i in todo])
+            w, total = np.repeat(np.array(todo, np.int32), size), int(size.sum())
+            pos = np.arange(total, dtype=np.int32) - np.repeat(np.cumsum(size) - size, size).astype(np.int32)
+            tok = self.byte[np.frombuffer(b"".join([words[i] for i in todo]), np.uint8)]
+            self._put("first", pa.table({"w": w, "pos": pos, "tok": tok}))
             for i, ids in self.db.execute(CONTRACT).fetchall():
                 out[i] = ids
         return out
 
     def decode(self, rows: list[list[int]]) -> list[bytes]:
         """The bytes that each row of ids stands for: the ids join the vocabulary, and their bytes are put together in order."""
-        own, pos, ids = [], [], []
-        for i, x in enumerate(rows):
-            own += [i] * len(x)
-            pos += range(len(x))
-            ids += x
-        self._put("coded", pa.table({"row": pa.array(own, pa.int32()), "pos": pa.array(pos, pa.int32()), "id": pa.array(ids, pa.int32())}))
+        size = np.array([len(x) for x in rows])
+        pos = np.arange(size.sum(), dtype=np.int32) - np.repeat(np.cumsum(size) - size, size).astype(np.int32)
+        ids = np.fromiter(chain.from_iterable(rows), np.int32, len(pos))
+        self._put("coded", pa.table({"row": np.repeat(np.arange(len(rows), dtype=np.int32), size), "pos": pos, "id": ids}))
         out = [b""] * len(rows)
         for i, hexed in self.db.execute("SELECT c.row, string_agg(hex(v.bytes), '' ORDER BY c.pos) FROM coded c JOIN vocab v ON v.id = c.id GROUP BY c.row").fetchall():
             out[i] = bytes.fromhex(hexed)
@@ -93,28 +90,31 @@ class Codec:
                 self.young[w] = v
             else:
                 words.append(w)
-        for lo in range(0, len(words), 10_000):
-            part = words[lo : lo + 10_000]
+        for lo in range(0, len(words), 40_000):
+            part = words[lo : lo + 40_000]
             coded = self.encode_words([w.encode() for w in part])
             for w, ids, back in zip(part, coded, self.decode(coded), strict=True):
-                self.young[w] = (",".join(map(str, ids)) + ",").encode(), len(ids), back
+                self.young[w] = (",".join(map(str, ids)) + ",").encode(), back
 
     def documents(self, texts: list[str]) -> list[tuple[bytes, int, bytes]]:
         """Each text's ids as decimals with commas, their number, and the bytes they decode to. Encoding works word by word, so both
         ids and decoded bytes of a text are its words' one after another."""
         if len(self.young) > self.kept:
             self.old, self.young = self.young, {}
+        young = self.young
         split = [self.find(x) for x in texts]
-        missing = set().union(*split).difference(self.young) if split else set()
+        found = [list(map(young.get, words)) for words in split]
+        missing = {w for words, got in zip(split, found, strict=True) if None in got for w, v in zip(words, got, strict=True) if v is None}
         self._learn(missing)
         out = []
-        for words in split:
-            got = list(map(self.young.__getitem__, words))
-            ids, n, back = zip(*got, strict=True) if got else ((), (), ())
-            out.append((b"".join(ids)[:-1], sum(n), b"".join(back)))
+        for words, got in zip(split, found, strict=True):
+            if None in got:
+                got = [young[w] if v is None else v for w, v in zip(words, got, strict=True)]
+            ids = b"".join([x[0] for x in got])
+            out.append((ids[:-1], ids.count(b","), b"".join([x[1] for x in got])))
         for w in missing:
             if len(w) > self.short:
-                del self.young[w]
+                del young[w]
         return out
 
 
@@ -126,7 +126,7 @@ def bpe_codes(docs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", root:
     by commas) and decoded_sha256 stand for ids and decoded, so that long results needn't leave the worker.
 
     The pattern's matches are the words. A worker's DuckDB (one thread, 300 MB) merges the distinct words of some texts that it
-    doesn't remember by CONTRACT, and decodes them back from their ids; up to about 400,000 words are remembered. Narrow: no shuffle, a lost task
+    doesn't remember by CONTRACT, and decodes them back from their ids; up to about 900,000 words are remembered. Narrow: no shuffle, a lost task
     is done again from its input. The time for one word grows with its length times its merges.
 
     Null text counts as empty: no ids. Each row gives a row, repeated rows and null doc_ids too; an empty table none.
@@ -141,8 +141,8 @@ def bpe_codes(docs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", root:
         c = _CODECS.get(key) or _CODECS.setdefault(key, Codec(*key))
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
                 got = c.documents(part["text"].to_pylist())
                 n = pa.array([x[1] for x in got], pa.int64())
                 if digests:
