@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimloom.llm.common import table
 
@@ -176,7 +177,7 @@ def sample(docs: DataFrame, rows: int = 96, chars: int = 600, max_langs: int = 6
 _MODELS: dict[str, Model] = {}
 
 
-def language_id(docs: DataFrame, rows: int = 96, chars: int = 600) -> DataFrame:
+def language_id(docs: DataFrame, rows: int = 96, chars: int = 600, keep: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every whole text; narrow, with the samples as a broadcast.
 
     Each language's sample (see sample(): at most rows * chars characters, 57,600 as given) becomes a suffix automaton. A text's
@@ -185,11 +186,13 @@ def language_id(docs: DataFrame, rows: int = 96, chars: int = 600) -> DataFrame:
     (ties: the first name). score is how far the cost lies under the second's, from 0 to 1; 1 where one language is known.
 
     lang_pred is `und`, score 0, if the text is null or has no letter, or no language can be learnt. Rows that repeat have each
-    their row, null doc_ids too (held_out false); an empty table gives none. lang, source and other columns are no inputs of predictions.
+    their row, null doc_ids too (held_out false); an empty table gives none. lang, source and other columns are no inputs of predictions;
+    with keep, the columns of docs stand beside lang_pred and score (which replace any of those names) in place of doc_id and held_out.
     """
     spark = docs.sparkSession
     learnt = spark.sparkContext.broadcast(sample(docs, rows, chars))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(bucket(F.col("doc_id").cast("long")) == 2, F.lit(False)).alias("held_out"))
+    first = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep else ["doc_id", "held_out"]
+    own = docs.select(*first) if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(bucket(F.col("doc_id").cast("long")) == 2, F.lit(False)).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = str(hash(tuple(sorted(learnt.value.items()))))
@@ -201,9 +204,10 @@ def language_id(docs: DataFrame, rows: int = 96, chars: int = 600) -> DataFrame:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
                 lang, score = zip(*m.predict(part["text"].to_pylist()), strict=True)
-                yield pa.record_batch([part["doc_id"], part["held_out"], pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.record_batch([*(part[c] for c in first), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*first, "lang_pred", "score"])
 
-    return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    out = T.StructType([own.schema[c] for c in first]).add("lang_pred", "string").add("score", "double")
+    return own.mapInArrow(run, out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

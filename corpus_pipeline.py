@@ -1,11 +1,62 @@
-"""The corpus pipeline: stages that each take and return a table of documents."""
+"""The corpus pipeline. Each stage takes and returns a table of documents; it is written and read again between stages.
 
-from claimloom.llm import dedup
+Rows are known by doc_id: rows that share one are taken or left together, null doc_ids too. Null texts count as empty, and go in the first stage. An
+empty table stays empty. Other columns are kept as they are, whatever their names, until packing.
+"""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimloom.llm import dedup, jaccard, langid, packing, pii
+from claimloom.llm.common import written
+
+#: No SQL: language ID and packing have none. tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in ids."""
+    ids = ids.select(F.col("doc_id").alias("__kept_id"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept_id"]), "left_semi")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told: those without a letter go. lang is as predicted; the models are learnt from docs."""
+    found = langid.language_id(docs, keep=True).where(F.col("lang_pred") != langid.UND)
+    return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that are equal but for white space."""
+    return _keep(docs, dedup.exact_dedup(docs).where("kept").select("doc_id"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies, the one of smallest doc_id."""
+    return _keep(docs, jaccard.jaccard_components(docs).where("doc_id <=> component_id").select("doc_id"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with pseudonyms for what is private. n_chars is that of the new text."""
+    out = pii.pseudonymised(docs)
+    return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences, with their ids."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("pii", private), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, one after another."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, f"stage-{name}")
     return docs
