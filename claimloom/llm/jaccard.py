@@ -141,8 +141,11 @@ def _cat(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(_bytes(column)), kind)
 
 
-def _region_counts(t: pa.Table) -> pa.Table:
-    """doc, n, k: how many of a document's prefix elements in this part another has too; and what the blocks counted."""
+COUNTS = "part int, ids binary, sizes binary, counts binary"
+
+
+def _region_counts(t: pa.Table, parts: int) -> pa.Table:
+    """How many of a document's prefix elements in this part another has too, and what the blocks counted, dealt by document."""
     single, docs, shared = _cat(t["single"], np.uint64), _cat(t["docs"], np.int64), _cat(t["shared"], np.uint64)
     value, inverse, n = np.unique(single, return_inverse=True, return_counts=True)
     hit = n > 1
@@ -151,9 +154,21 @@ def _region_counts(t: pa.Table) -> pa.Table:
         at[at == len(value)] = 0
         hit[at[value[at] == shared]] = True
     doc, k = np.unique(docs[hit[inverse]], return_counts=True)
-    ids, sizes, counts = _cat(t["ids"], np.int64), _cat(t["sizes"], np.int32), _cat(t["counts"], np.int32)
-    z = np.zeros(len(doc), np.int64)
-    return pa.table({"doc": np.concatenate([doc, ids]), "n": np.concatenate([z, sizes]), "k": np.concatenate([k, counts]).astype(np.int64)})
+    ids = np.concatenate([doc, _cat(t["ids"], np.int64)])
+    sizes = np.concatenate([np.zeros(len(doc), np.int32), _cat(t["sizes"], np.int32)])
+    counts = np.concatenate([k.astype(np.int32), _cat(t["counts"], np.int32)])
+    order, begin = _dealt(ids.view(np.uint64) * MIX[0] >> np.uint64(32), parts)
+    cut = [order[begin[p] : begin[p + 1]] for p in range(parts)]
+    rows = [(p, ids[c].tobytes(), sizes[c].tobytes(), counts[c].tobytes()) for p, c in enumerate(cut) if len(c)]
+    return pa.Table.from_batches([_batch(list(zip(*rows, strict=True)) or [[]] * 4, COUNTS)])
+
+
+def _summed(t: pa.Table) -> pa.Table:
+    """doc, n, k of each document of a part."""
+    doc, at = np.unique(_cat(t["ids"], np.int64), return_inverse=True)
+    n = np.zeros(len(doc), np.int64)
+    np.maximum.at(n, at, _cat(t["sizes"], np.int32))
+    return pa.table({"doc": doc, "n": n, "k": np.bincount(at, _cat(t["counts"], np.int32), len(doc)).astype(np.int64)})
 
 
 def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,8 +464,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     region = own.withColumn("part", F.spark_partition_id()).mapInArrow(lambda b: _region(b, parts), REGION)
-    stat = region.groupBy("part").applyInArrow(_region_counts, "doc long, n long, k long").groupBy("doc").agg(F.max("n").alias("n"), F.sum("k").alias("k"))
-    stat = written(stat, "jaccard-stat")
+    counts = region.groupBy("part").applyInArrow(lambda t: _region_counts(t, parts), COUNTS)
+    stat = written(counts.groupBy("part").applyInArrow(_summed, "doc long, n long, k long"), "jaccard-stat")
     enough = F.expr("k >= 1 + ((4 * n + 4) div 5) div 10 and n > 0")
     some = own.join(stat.where(enough).select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
     sets = written(some.mapInArrow(_own_sets, "doc long, n long, digest binary, elements binary"), "jaccard-sets")
