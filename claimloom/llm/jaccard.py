@@ -93,12 +93,14 @@ def _dealt(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
-REGION = "part int, single binary, docs binary, shared binary, ids binary, sizes binary, counts binary"
+REGION = "part int, single binary, docs binary, shared binary, ids binary, sizes binary, counts binary, digests binary"
 
 
 def _region_rows(ids: list[int], sets: list[np.ndarray], parts: int, turn: int) -> pa.RecordBatch:
     """The prefixes of a block's documents, dealt by hash: hashes that one document has with that document, others once and counted
     here, so no hash has more than a row from each block."""
+    import xxhash
+
     size = np.array([len(s) for s in sets], np.int64)
     take = np.where(size > 0, np.minimum(size, size - least(size) + extra(size)), 0)
     h = np.concatenate([s[:k] for s, k in zip(sets, take, strict=True)] or [np.zeros(0, np.uint64)])
@@ -111,13 +113,10 @@ def _region_rows(ids: list[int], sets: list[np.ndarray], parts: int, turn: int)
     shared, single, docs = h[many & ~same], h[~many], np.array(ids, np.int64)[own[~many]]
     so, sb = _dealt(single, parts)
     ho, hb = _dealt(shared, parts)
-    none = b""
-    rows = [
-        (p, single[so[sb[p] : sb[p + 1]]].tobytes(), docs[so[sb[p] : sb[p + 1]]].tobytes(), shared[ho[hb[p] : hb[p + 1]]].tobytes(), none, none, none)
-        for p in range(parts)
-    ]
-    p = turn % parts
-    rows[p] = (*rows[p][:4], np.array(ids, np.int64).tobytes(), size.astype(np.int32).tobytes(), count.astype(np.int32).tobytes())
+    cut = [(so[sb[p] : sb[p + 1]], ho[hb[p] : hb[p + 1]]) for p in range(parts)]
+    rows = [(p, single[x].tobytes(), docs[x].tobytes(), shared[y].tobytes(), *[b""] * 4) for p, (x, y) in enumerate(cut)]
+    p, digests = turn % parts, b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets])
+    rows[p] = (*rows[p][:4], np.array(ids, np.int64).tobytes(), size.astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), digests)
     return _batch(list(zip(*rows, strict=True)), REGION)
 
 
@@ -141,11 +140,12 @@ def _cat(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(_bytes(column)), kind)
 
 
-COUNTS = "part int, ids binary, sizes binary, counts binary"
+COUNTS = "part int, docs binary, hits binary, ids binary, sizes binary, digests binary"
+STAT = "doc long, size long, n long, low long, k long, digest binary, first boolean"
 
 
 def _region_counts(t: pa.Table, parts: int) -> pa.Table:
-    """How many of a document's prefix elements in this part another has too, and what the blocks counted, dealt by document."""
+    """How many of a document's prefix elements in this part another has too, and what the blocks say, dealt by document."""
     single, docs, shared = _cat(t["single"], np.uint64), _cat(t["docs"], np.int64), _cat(t["shared"], np.uint64)
     value, inverse, n = np.unique(single, return_inverse=True, return_counts=True)
     hit = n > 1
@@ -153,33 +153,65 @@ def _region_counts(t: pa.Table, parts: int) -> pa.Table:
         at = np.searchsorted(value, shared)
         at[at == len(value)] = 0
         hit[at[value[at] == shared]] = True
+    ids, digests = _cat(t["ids"], np.int64), _cat(t["digests"], "V16")
+    sizes, counts = _cat(t["sizes"], np.int32), _cat(t["counts"], np.int32)
     doc, k = np.unique(docs[hit[inverse]], return_counts=True)
-    ids = np.concatenate([doc, _cat(t["ids"], np.int64)])
-    sizes = np.concatenate([np.zeros(len(doc), np.int32), _cat(t["sizes"], np.int32)])
-    counts = np.concatenate([k.astype(np.int32), _cat(t["counts"], np.int32)])
-    order, begin = _dealt(ids.view(np.uint64) * MIX[0] >> np.uint64(32), parts)
-    cut = [order[begin[p] : begin[p + 1]] for p in range(parts)]
-    rows = [(p, ids[c].tobytes(), sizes[c].tobytes(), counts[c].tobytes()) for p, c in enumerate(cut) if len(c)]
-    return pa.Table.from_batches([_batch(list(zip(*rows, strict=True)) or [[]] * 4, COUNTS)])
+    doc, k = np.concatenate([doc, ids]), np.concatenate([k.astype(np.int32), counts])
+    dealt = lambda x: _dealt(x.view(np.uint64) * MIX[0] >> np.uint64(32), parts)
+    (do, db), (io, ib) = dealt(doc), dealt(ids)
+    cut = [(do[db[p] : db[p + 1]], io[ib[p] : ib[p + 1]]) for p in range(parts)]
+    rows = [(p, doc[x].tobytes(), k[x].tobytes(), ids[y].tobytes(), sizes[y].tobytes(), digests[y].tobytes()) for p, (x, y) in enumerate(cut) if len(x)]
+    return pa.Table.from_batches([_batch(list(zip(*rows, strict=True)) or [[]] * 6, COUNTS)])
 
 
 def _summed(t: pa.Table) -> pa.Table:
-    """doc, n, k of each document of a part."""
-    doc, at = np.unique(_cat(t["ids"], np.int64), return_inverse=True)
-    n = np.zeros(len(doc), np.int64)
-    np.maximum.at(n, at, _cat(t["sizes"], np.int32))
-    return pa.table({"doc": doc, "n": n, "k": np.bincount(at, _cat(t["counts"], np.int32), len(doc)).astype(np.int64)})
+    """For each set of each document of a part: its size and digest, and the document's largest and least size and count k."""
+    ids, sizes, raw = _cat(t["ids"], np.int64), _cat(t["sizes"], np.int32).astype(np.int64), _cat(t["digests"], "V16")
+    doc, at = np.unique(ids, return_inverse=True)
+    n, low = np.zeros(len(doc), np.int64), np.full(len(doc), 2**31, np.int64)
+    np.maximum.at(n, at, sizes)
+    np.minimum.at(low, at[sizes > 0], sizes[sizes > 0])
+    k = np.bincount(np.searchsorted(doc, _cat(t["docs"], np.int64)), _cat(t["hits"], np.int32), len(doc)).astype(np.int64)
+    rows: dict[tuple[int, bytes], int] = {(int(i), x.tobytes()): j for j, (i, x) in enumerate(zip(at, raw, strict=True))}
+    own, row = np.array([i for i, _ in rows], np.int64), np.array(list(rows.values()), np.int64)
+    first = np.zeros(len(own), bool)
+    first[np.unique(own, return_index=True)[1]] = True
+    return pa.table({"doc": doc[own], "size": sizes[row], "n": n[own], "low": low[own], "k": k[own], "digest": [x for _, x in rows], "first": first})
 
 
-def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+MARKS, CHUNK = 1 << 25, 1 << 18  # bits in all (4 MB, whatever the data) and in a row
+
+
+def _marked(t: pa.Table) -> pa.Table:
+    bits = np.zeros(CHUNK, bool)
+    bits[t["bit"].to_numpy() % CHUNK] = True
+    return pa.table({"chunk": t["chunk"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def _marks(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of ids by hash, of a fixed size: it holds every id, and others as it fills."""
+    bit = ids.select(_bit(column).alias("bit")).distinct().withColumn("chunk", F.floor(F.col("bit") / CHUNK).cast("int"))
+    out = np.zeros(MARKS // 8, np.uint8)
+    for r in bit.groupBy("chunk").applyInArrow(_marked, "chunk int, bits binary").collect():
+        out[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _bit(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(MARKS))
+
 
+def _own_sets(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The sets of marked documents."""
     make = _shingles()
     for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            part = b.slice(lo, 500)
-            sets = [make.of(t.as_py()).tobytes() for t in part["text"]]
-            yield _batch([part["doc_id"], [len(s) // 8 for s in sets], [xxhash.xxh3_128_digest(s) for s in sets], sets], "doc long, n long, digest binary, elements binary")
+        bit = b["bit"].to_numpy()
+        for lo in range(0, b.num_rows, 2000):
+            at = lo + np.flatnonzero(marks[bit[lo : lo + 2000] >> 3] & (128 >> (bit[lo : lo + 2000] & 7)))
+            if len(at):
+                part = b.take(pa.array(at))
+                sets = [make.of(t.as_py()).tobytes() for t in part["text"]]
+                yield _batch([part["doc_id"], [len(s) // 8 for s in sets], sets], "doc long, n long, elements binary")
 
 
 COUNTED = "part int, block int, hashes binary, counts binary"
@@ -452,7 +484,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     1. Prefix rows: the elements of least hash, about 3/10 of each set, packed by part of the hash space. A document stays if so many
        of its own are another's too that a partner is possible (exact; see extra()). A hash is counted in the block first, so that one that a third
        of all documents share is a row for each block.
-    2. Survivors' sets; of equal sets the least doc_id stands for all.
+    2. Of survivors with equal sets (by a 128-bit digest) the least doc_id stands for all. Its set is made again from its text, found
+       by a bitmap of fixed size, so no text is shuffled; other sets that the bitmap lets through do no harm.
     3. How many survivors have each element, asked and answered by block. Those with too few shared elements go; of the others the
        rarest elements, one of which linked sets must share, connect candidates: each hash's least document with the others.
     4. Connected candidates are clusters, which hold every link. A task takes a cluster at a time: components().
@@ -465,14 +498,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     region = own.withColumn("part", F.spark_partition_id()).mapInArrow(lambda b: _region(b, parts), REGION)
     counts = region.groupBy("part").applyInArrow(lambda t: _region_counts(t, parts), COUNTS)
-    stat = written(counts.groupBy("part").applyInArrow(_summed, "doc long, n long, k long"), "jaccard-stat")
-    enough = F.expr("k >= 1 + ((4 * n + 4) div 5) div 10 and n > 0")
-    some = own.join(stat.where(enough).select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
-    sets = written(some.mapInArrow(_own_sets, "doc long, n long, digest binary, elements binary"), "jaccard-sets")
-    reps = sets.groupBy("digest").agg(F.min("doc").alias("rep"))
-    member = sets.select("doc", "digest").join(reps, "digest").select("doc", "rep")
-    lead = sets.join(reps, (sets["digest"] == reps["digest"]) & (sets["doc"] == reps["rep"])).select("doc", "n", "elements").dropDuplicates(["doc", "n", "elements"])
-    lead = written(lead, "jaccard-leads")
+    stat = written(counts.groupBy("part").applyInArrow(_summed, STAT), "jaccard-stat")
+    some = stat.where("size > 0 and k >= 1 + ((4 * low + 4) div 5) div 10")
+    reps = written(some.groupBy("digest").agg(F.min("doc").alias("rep")), "jaccard-reps")
+    member = some.select("doc", "digest").join(reps, "digest").select("doc", "rep")
+    marks = spark.sparkContext.broadcast(_marks(reps, "rep"))
+    asked_for = own.select("doc_id", "text", _bit("doc_id").alias("bit"))
+    lead = written(asked_for.mapInArrow(lambda b: _own_sets(b, marks.value), "doc long, n long, elements binary").where("n > 0"), "jaccard-leads")
     total = lead.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK), min(parts, total // 200_000))
     lead = lead.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int"))
@@ -492,7 +524,7 @@ def _labelled(stat: DataFrame, member: DataFrame, comp: DataFrame) -> DataFrame:
     of = member.join(comp, "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))
     low = of.groupBy("doc").agg(F.min("component").alias("component"), F.max("component").alias("most"))
     split = low.where("component <> most").select(F.col("component").alias("a"), F.col("most").alias("b"))
-    out = stat.join(low.drop("most"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    out = stat.where("first").join(low.drop("most"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
     if not split.isEmpty():
         pairs = of.join(low, "doc").select(low["component"].alias("a"), of["component"].alias("b")).where("a <> b").distinct()
         up = connected(pairs)

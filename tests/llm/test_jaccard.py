@@ -104,7 +104,7 @@ def test_against_brute_force(spark):
 
 def test_repeated_and_null_ids_and_long_texts(spark):
     a, b, c = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50)), " ".join(f"c{i % 977}x{i % 331}" for i in range(60_000))
-    rows = [(1, a), (1, a), (2, b), (3, a), (3, b), (4, c), (5, c + " end"), (6, None), (9, "z")]
+    rows = [(1, a), (1, a), (2, b), (3, a), (3, b), (4, c), (5, c + " end"), (6, None), (9, "z"), (7, " ".join(f"y{i % 89}q{i % 97}" for i in range(3000))), (7, a), (7, None), (8, None), (10, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(x) for x in jaccard_components(df).collect()} == brute(rows)
     got = {tuple(x) for x in jaccard_components(df.unionByName(df.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))).collect()}
