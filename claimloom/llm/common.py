@@ -48,3 +48,13 @@ def tokenizer_path(name: str, root: str | None = None) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+_KEPT: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker between tasks. Workers outlive operators: what another one kept goes."""
+    for k in [k for k in _KEPT if k != owner]:
+        del _KEPT[k]
+    return _KEPT.setdefault(owner, {})

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import table, written
+from claimloom.llm.common import table, worker_cache, written
 
 WORDS = 5
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 NO_ID = 2**63 - 1  # stands for a null doc_id inside the join
-BLOCK = 3_000_000  # elements that a task holds at once, but for a larger single document
+BLOCK = 2_000_000  # elements that a task holds at once, but for a larger single document
 
 # Two sets link when 100 * overlap >= 80 * union. So the overlap is at least least(n) of either size n; and of both sets' elements
 # in the order of their hashes, the first n - least(n) + m hold m common ones (m at most either's own).
@@ -32,48 +32,23 @@ def extra(n):
     return 1 + n // 10
 
 
-class Shingles:
-    """Distinct 64-bit hashes of word 5-grams, with word hashes remembered in two generations."""
-
-    def __init__(self, kept: int = 400_000):
-        import xxhash
-
-        self.hash, self.kept = xxhash.xxh3_64_intdigest, kept
-        self.young: dict[bytes, int] = {}
-        self.old: dict[bytes, int] = {}
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()  # bytes: A-Z alone, and ASCII white space
-        if len(self.young) > self.kept:
-            self.old, self.young = self.young, {}
-        young = self.young
-        got = list(map(young.get, words))
-        if None in got:
-            for i, v in enumerate(got):
-                if v is None:
-                    w = words[i]
-                    got[i] = young[w] = self.old.get(w) or self.hash(w)
-        if not got:
-            return np.zeros(0, np.uint64)
-        w = np.array(got, np.uint64)
-        n = max(len(w) - WORDS + 1, 1)
-        h = np.full(n, len(w) if len(w) < WORDS else WORDS, np.uint64)
-        for k in range(min(WORDS, len(w))):
-            h += w[k : k + n] * MIX[k]
-        h ^= h >> np.uint64(31)
-        h *= MIX[0]
-        h ^= h >> np.uint64(29)
-        h *= MIX[1]
-        return np.unique(h ^ (h >> np.uint64(32)))
-
-
-_SHINGLES: list[Shingles] = []
-
+def shingles(text: str | None) -> np.ndarray:
+    """Distinct 64-bit hashes of word 5-grams, in order."""
+    import xxhash
 
-def _shingles() -> Shingles:
-    if not _SHINGLES:
-        _SHINGLES.append(Shingles())
-    return _SHINGLES[0]
+    words = (text or "").encode().lower().split()  # bytes: A-Z alone, and ASCII white space
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    if not len(w):
+        return w
+    n = max(len(w) - WORDS + 1, 1)
+    h = np.full(n, min(len(w), WORDS), np.uint64)
+    for k in range(min(WORDS, len(w))):
+        h += w[k : k + n] * MIX[k]
+    h ^= h >> np.uint64(31)
+    h *= MIX[0]
+    h ^= h >> np.uint64(29)
+    h *= MIX[1]
+    return np.unique(h ^ (h >> np.uint64(32)))
 
 
 def _batch(columns: list, schema: str) -> pa.RecordBatch:
@@ -96,44 +71,45 @@ def _dealt(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 REGION = "part int, single binary, docs binary, shared binary, ids binary, sizes binary, counts binary, digests binary"
 
 
-def _region_rows(ids: list[int], sets: list[np.ndarray], parts: int, turn: int) -> pa.RecordBatch:
+def _region_rows(ids: list[int], size: list[int], digests: list[bytes], heads: list[np.ndarray], parts: int, turn: int) -> pa.RecordBatch:
     """The prefixes of a block's documents, dealt by hash: hashes that one document has with that document, others once and counted
     here, so no hash has more than a row from each block."""
-    import xxhash
-
-    size = np.array([len(s) for s in sets], np.int64)
-    take = np.where(size > 0, np.minimum(size, size - least(size) + extra(size)), 0)
-    h = np.concatenate([s[:k] for s, k in zip(sets, take, strict=True)] or [np.zeros(0, np.uint64)])
-    own = np.repeat(np.arange(len(sets)), take)
+    take = np.array([len(x) for x in heads], np.int64)
+    h = np.concatenate(heads)
+    own = np.repeat(np.arange(len(heads)), take)
     order = np.argsort(h, kind="stable")
     h, own = h[order], own[order]
     same = np.concatenate([[False], h[1:] == h[:-1]]) if len(h) else np.zeros(0, bool)
     many = same | np.concatenate([same[1:], [False]]) if len(h) else same
-    count = np.bincount(own[many], minlength=len(sets))
+    count = np.bincount(own[many], minlength=len(heads))
     shared, single, docs = h[many & ~same], h[~many], np.array(ids, np.int64)[own[~many]]
     so, sb = _dealt(single, parts)
     ho, hb = _dealt(shared, parts)
     cut = [(so[sb[p] : sb[p + 1]], ho[hb[p] : hb[p + 1]]) for p in range(parts)]
     rows = [(p, single[x].tobytes(), docs[x].tobytes(), shared[y].tobytes(), *[b""] * 4) for p, (x, y) in enumerate(cut)]
-    p, digests = turn % parts, b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets])
-    rows[p] = (*rows[p][:4], np.array(ids, np.int64).tobytes(), size.astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), digests)
+    p = turn % parts
+    rows[p] = (*rows[p][:4], np.array(ids, np.int64).tobytes(), np.array(size, np.int32).tobytes(), count.astype(np.int32).tobytes(), b"".join(digests))
     return _batch(list(zip(*rows, strict=True)), REGION)
 
 
 def _region(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    make, ids, sets, total, turn = _shingles(), [], [], 0, 0
+    import xxhash
+
+    worker_cache("jaccard")
+    rows, total, turn = [], 0, 0
     for b in batches:
         turn = turn or int(b["part"][0].as_py()) * 7919
         for i, t in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-            s = make.of(t.as_py())
-            ids.append(i)
-            sets.append(s)
-            total += len(s) // 3 + 1
-            if total >= BLOCK // 2:
-                yield _region_rows(ids, sets, parts, turn)
-                ids, sets, total, turn = [], [], 0, turn + 1
-    if ids:
-        yield _region_rows(ids, sets, parts, turn)
+            s = shingles(t.as_py())
+            n = len(s)
+            head = s[: min(n, n - least(n) + extra(n))].copy() if n else s
+            rows.append((i, n, xxhash.xxh3_128_digest(s.tobytes()), head))
+            total += len(head) + 1
+            if total >= BLOCK // 3:
+                yield _region_rows(*map(list, zip(*rows, strict=True)), parts, turn)
+                rows, total, turn = [], 0, turn + 1
+    if rows:
+        yield _region_rows(*map(list, zip(*rows, strict=True)), parts, turn)
 
 
 def _cat(column, kind) -> np.ndarray:
@@ -203,14 +179,13 @@ def _bit(column: str):
 
 def _own_sets(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The sets of marked documents."""
-    make = _shingles()
     for b in batches:
         bit = b["bit"].to_numpy()
-        for lo in range(0, b.num_rows, 2000):
-            at = lo + np.flatnonzero(marks[bit[lo : lo + 2000] >> 3] & (128 >> (bit[lo : lo + 2000] & 7)))
+        for lo in range(0, b.num_rows, 500):
+            at = lo + np.flatnonzero(marks[bit[lo : lo + 500] >> 3] & (128 >> (bit[lo : lo + 500] & 7)))
             if len(at):
                 part = b.take(pa.array(at))
-                sets = [make.of(t.as_py()).tobytes() for t in part["text"]]
+                sets = [shingles(t.as_py()).tobytes() for t in part["text"]]
                 yield _batch([part["doc_id"], [len(s) // 8 for s in sets], sets], "doc long, n long, elements binary")
 
 
