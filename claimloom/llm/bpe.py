@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import table, tokenizer_path
+from claimloom.llm.common import table, tokenizer_path, worker_cache
 
 #: Token-position rows of the words at hand, contracted until no pair of a word is in the merge table. Each turn joins the rows with
 #: their right neighbours to the merge table, takes each word's leftmost pair of least rank, and writes the merged token over its
@@ -118,9 +118,6 @@ class Codec:
         return out
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
 def bpe_codes(docs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", root: str | None = None, pattern: str | None = None, digests: bool = False) -> DataFrame:
     """doc_id, ids (array), n_tokens and decoded (binary) of every whole text; with digests, ids_sha256 (of the ids' decimals joined
     by commas) and decoded_sha256 stand for ids and decoded, so that long results needn't leave the worker.
@@ -135,10 +132,11 @@ def bpe_codes(docs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", root:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = worker_cache("bpe")
         import public_tokenizers
 
         key = tokenizer_path(ranks, root), pattern or public_tokenizers.PATTERN
-        c = _CODECS.get(key) or _CODECS.setdefault(key, Codec(*key))
+        c = kept.get(key) or kept.setdefault(key, Codec(*key))
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             for lo in range(0, b.num_rows, 1000):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimloom.llm.common import table
+from claimloom.llm.common import table, worker_cache
 
 UND = "und"
 #: Symbols of a text: 0 parts words (whatever is no letter), 1 is a letter the samples don't hold, others are letters in lower case.
@@ -174,9 +174,6 @@ def sample(docs: DataFrame, rows: int = 96, chars: int = 600, max_langs: int = 6
     return {k: " ".join(v[:rows]) for k, v in out.items()}
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def language_id(docs: DataFrame, rows: int = 96, chars: int = 600, keep: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every whole text; narrow, with the samples as a broadcast.
 
@@ -195,11 +192,12 @@ def language_id(docs: DataFrame, rows: int = 96, chars: int = 600, keep: bool =
     own = docs.select(*first) if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(bucket(F.col("doc_id").cast("long")) == 2, F.lit(False)).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = worker_cache("langid")
         key = str(hash(tuple(sorted(learnt.value.items()))))
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Model(learnt.value)
-        m = _MODELS[key]
+        if key not in kept:
+            kept.clear()
+            kept[key] = Model(learnt.value)
+        m = kept[key]
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import table, tokenizer_path
+from claimloom.llm.common import table, tokenizer_path, worker_cache
 
 #: Letters, of which each has one lower case character and none composes, and punctuation without the apostrophe.
 LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -35,7 +35,7 @@ class Encoder:
     Short units are remembered in two generations of about `kept`: when the young one is full, it takes the old one's place.
     """
 
-    def __init__(self, path: str, kept: int = 500_000, short: int = 40):
+    def __init__(self, path: str, kept: int = 300_000, short: int = 40):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -184,16 +184,13 @@ def pack_shard(docs: list[np.ndarray], window: int, query_terms: int) -> Iterato
             yield out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def pack(
     docs: DataFrame,
     window: int = 4096,
     end_id: int = 2,
     tokenizer: str = "word_bpe_49k.json",
     root: str | None = None,
-    shard_tokens: int = 4_000_000,
+    shard_tokens: int = 2_000_000,
     query_terms: int = 12,
 ) -> DataFrame:
     """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
@@ -224,8 +221,9 @@ def pack(
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = worker_cache("packing")
         path = tokenizer_path(tokenizer, root)
-        e = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+        e = kept.get(path) or kept.setdefault(path, Encoder(path))
         ids, held, total, base, end = [], [], 0, 0, np.array([end_id], "<u4")
         for b in batches:
             for lo in range(0, b.num_rows, 64):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import table, tokenizer_path
+from claimloom.llm.common import table, tokenizer_path, worker_cache
 
 #: Between two of these no token of a byte-level tokenizer's split ever spans: after a character that is no white space and before
 #: ASCII white space. The split's matches hold white space only at their start, so each ends before such a place whatever the text
@@ -100,9 +100,6 @@ class Counter:
         return total + len(own[0]) - before
 
 
-_COUNTERS: dict = {}
-
-
 def token_counts(
     docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", root: str | None = None, limit: int = 512, chunk: int = 32_768, overlap: int = 256
 ) -> DataFrame:
@@ -119,8 +116,9 @@ def token_counts(
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = worker_cache("tokens")
         key = (tokenizer_path(tokenizer, root), chunk, overlap)  # as installed on this worker
-        c = _COUNTERS.get(key) or _COUNTERS.setdefault(key, Counter(*key))
+        c = kept.get(key) or kept.setdefault(key, Counter(*key))
         for b in batches:
             yield pa.record_batch([b["doc_id"], b["n_bytes"], pa.array(c.counts(b["text"].to_pylist()), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
