@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -269,9 +270,9 @@ def _joined_stars(t: pa.Table) -> pa.Table:
 class DivideSkip:
     """Inverted lists over the sets added so far, searched for the sets that share at least `need` elements with a query."""
 
-    def __init__(self):
-        self.lists: dict[int, list[int]] = {}
-        self.most = 0
+    def __init__(self, heap_most: int = 2000):
+        self.lists: dict[int, array] = {}
+        self.most, self.heap_most = 0, heap_most
 
     def add(self, number: int, elements: list[int]) -> None:
         """Numbers must rise."""
@@ -279,15 +280,15 @@ class DivideSkip:
         for e in elements:
             x = lists.get(e)
             if x is None:
-                lists[e] = [number]
+                lists[e] = array("i", [number])
             else:
                 x.append(number)
                 if len(x) > self.most:
                     self.most = len(x)
 
     def search(self, elements: list[int], need: int) -> list[tuple[int, int]]:
-        """(number, overlap) of all sets of overlap >= need. The longest lists are probed, the others merged in a heap that skips
-        what can't reach need less the number of long lists."""
+        """(number, overlap) of all sets of overlap >= need. The longest lists are probed by bisection, for those sets that the
+        others have often enough: need less the number of long lists."""
         get = self.lists.get
         found = [x for e in elements if (x := get(e)) is not None]
         if len(found) < need:
@@ -296,22 +297,41 @@ class DivideSkip:
         long = min(need - 1, int(need / (0.01 * math.log2(self.most + 1) + 1))) if self.most > 1 else 0
         while long and len(found[-long]) <= 8:  # short lists are cheaper merged
             long -= 1
-        short, long_lists = found[: len(found) - long], found[len(found) - long :]
-        want, out = need - len(long_lists), []
-        at = [0] * len(short)
-        heap = [(x[0] << 24) | i for i, x in enumerate(short)]
+        short, probed = found[: len(found) - long], found[len(found) - long :]
+        merge = self._heap if sum(map(len, short)) <= self.heap_most else self._sorted
+        number, n = merge(short, need - long)
+        for i, x in enumerate(probed):
+            still = n + (long - i) >= need
+            if not still.all():
+                number, n = number[still], n[still]
+            if not len(number):
+                return []
+            own = np.frombuffer(x, np.int32)
+            at = np.searchsorted(own, number)
+            at[at == len(own)] = 0
+            n = n + (own[at] == number)
+        keep = n >= need
+        return list(zip(number[keep].tolist(), n[keep].tolist(), strict=True))
+
+    @staticmethod
+    def _sorted(lists: list[array], want: int) -> tuple[np.ndarray, np.ndarray]:
+        """The merge of many entries, as one count over them all."""
+        n = np.bincount(np.concatenate([np.frombuffer(x, np.int32) for x in lists]))
+        number = np.flatnonzero(n >= max(want, 1)).astype(np.int32)
+        return number, n[number]
+
+    @staticmethod
+    def _heap(lists: list[array], want: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers on at least `want` lists, from a heap of the lists' heads that skips to where `want` of them can meet."""
+        out, at = [], [0] * len(lists)
+        heap = [(x[0] << 24) | i for i, x in enumerate(lists)]
         heapq.heapify(heap)
         while len(heap) >= want:
             top, popped = heap[0] >> 24, []
             while heap and heap[0] >> 24 == top:
                 popped.append(heapq.heappop(heap) & 0xFFFFFF)
             if len(popped) >= want:
-                n = len(popped)
-                for x in long_lists:
-                    j = bisect_left(x, top)
-                    n += j < len(x) and x[j] == top
-                if n >= need:
-                    out.append((top, n))
+                out.append((top, len(popped)))
                 to = top + 1
             else:
                 for _ in range(min(want - 1 - len(popped), len(heap))):
@@ -320,11 +340,11 @@ class DivideSkip:
                     break
                 to = heap[0] >> 24
             for i in popped:
-                x = short[i]
+                x = lists[i]
                 j = at[i] = bisect_left(x, to, at[i])
                 if j < len(x):
                     heapq.heappush(heap, (x[j] << 24) | i)
-        return out
+        return np.array([x[0] for x in out], np.int32), np.array([x[1] for x in out], np.int64)
 
 
 def linked(overlap: int, n: int, m: int) -> bool:
@@ -428,25 +448,22 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """doc, cluster (the least document reachable) of all documents in links (a, b), by large and small stars in turn.
+    """doc, cluster (the least document reachable) of all documents in links (a, b).
 
-    Links of a partition are contracted first. Each turn is a grouped minimum and a join, both by document; turns end when nothing
-    changes, after about the logarithm of the largest component. Every turn's links are a table in the shared folder.
+    In every turn each link goes to the tasks of both its ends, and a task contracts what it has to stars around the least document.
+    When a turn changes nothing, no document has two links but a star's middle, so the stars are the components. A turn is one
+    shuffle of at most two rows for each link; turns grow with the logarithm of the longest chain. Every turn's links are a table in the
+    shared folder.
     """
-    links = written(links.mapInArrow(_contract, "a long, b long").where("a <> b"), "links")
-    before = None
+    links, before = written(links.mapInArrow(_contract, "a long, b long"), "links"), None
     while True:
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()  # every larger neighbour to the least
-        down = large.select(F.col("b").alias("x"), F.col("a").alias("y"))
-        least_ = down.groupBy("x").agg(F.min("y").alias("m"))
-        small = down.join(least_, "x").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("y").alias("b")), F.struct(F.col("m").alias("a"), F.col("x").alias("b")))).alias("l"))
-        links = written(small.select("l.a", "l.b").where("a <> b").distinct(), "links")
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
+        ends = links.withColumn("end", F.explode(F.array("a", "b"))).repartition("end").select("a", "b")
+        links = written(ends.mapInArrow(_contract, "a long, b long"), "links")
+    links = links.distinct()
     return links.select(F.col("b").alias("doc"), F.col("a").alias("cluster")).unionByName(links.select(F.col("a").alias("doc"), F.col("a").alias("cluster")).distinct())
 
 
