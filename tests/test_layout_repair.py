@@ -1,0 +1,43 @@
+from pyspark.sql import functions as F
+
+from claimloom.functions import repair
+from claimloom.operators import blocks, layout
+
+
+def test_repair():
+    good = [{"a": 1}, {"b": "x]"}]
+    for t in ('[{"a": 1}, {"b": "x]"}]', '```json\n[{"a": 1}, {"b": "x]"}]\n```', 'so: [{"a": 1}, {"b": "x]"},] done', '[{"a": 1}, {"b": "x]"}, {"c": "cut o'):
+        assert repair.repaired(t) == good, t
+    assert repair.repaired("nothing") is None and repair.repaired(None) is None
+    assert repair.repaired('{"facts": [1,]}') == {"facts": [1]}
+
+
+def test_parsed_and_exploded(spark):
+    rows = [(1, '[{"a":1}]'), (2, 'x {"facts": [{"b":2},]}'), (3, "no"), (4, None)]
+    df = repair.parsed(spark.createDataFrame(rows, "id long, answer string"))
+    got = {r.id: r.f for r in df.select("id", repair.facts_in(F.col("json")).alias("f")).collect()}
+    assert [len(x) if x else 0 for x in (got[1], got[2], got[3], got[4])] == [1, 1, 0, 0]
+
+
+def word(t, x, y, **k):
+    return (1, 0, float(x), float(y), float(x) + 30, float(y) + 10, t, 10.0, k.get("bold", False))
+
+
+def test_lines_and_columns(spark):
+    ws = [word("Revenue", 10, 100), word("7.6", 300, 101), word("9.2", 380, 99), word("Profit", 10, 120, bold=True), word("1.2", 300, 121), word("2.4", 380, 120)]
+    df = spark.createDataFrame(ws, "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double, text string, size double, bold boolean")
+    got = sorted(layout.lines_of(df).collect(), key=lambda r: r.line_no)
+    assert [r.text for r in got] == ["Revenue 7.6 9.2", "Profit 1.2 2.4"] and not got[0].bold
+    nums = df.where(blocks.numeric_token(F.col("text"))).select("doc_id", "page_no", ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.lit(612.0).alias("width"))
+    assert sorted((r.n, r.centre) for r in layout.columns_of(nums).collect()) == [(2, 315.0), (2, 395.0)]
+    boxes = df.select(F.lit(7).alias("fact_id"), "x0", "y0", "x1", "y1")
+    assert sorted((r.x0, r.x1) for r in layout.merged_boxes(boxes).collect()) == [(10.0, 410.0), (10.0, 410.0)]
+
+
+def test_packs_and_tables(spark):
+    df = spark.createDataFrame([(["a" * 3000, "b" * 1500, "c" * 1000, "d" * 8000, "e"],)], "t array<string>")
+    got = df.select(blocks.packs(F.col("t")).alias("p")).first().p
+    assert [len(x) for x in got] == [4502, 1000, 8000, 1]
+    rows = [(True, "Assets", []), (False, "Cash", [("FY23", "1"), ("FY24", "2")]), (False, None, [("FY23", "3")])]
+    df = spark.createDataFrame([(rows, "Balance")], "rows array<struct<section: boolean, label: string, cells: array<struct<header: string, value: string>>>>, cap string")
+    assert df.select(blocks.rendered(F.col("rows"), F.col("cap")).alias("t")).first().t == "Balance\n[Assets]\nCash: FY23=1; FY24=2\n(unlabelled row): FY23=3"
