@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.functions import grounding, keys, periods, validation, values
+from claimloom.functions import grounding, keys, periods, repair, validation, values
 from claimloom.functions.binding import let
 from claimloom.operators import blocks, derived, reads, reconcile, vocabulary
 from claimloom.plans import golden
@@ -257,6 +257,11 @@ def validate(spark, sf_dir):
     return validation.validated(raw).select("value", "evidence_quote", "reason", "subject", "confidence")
 
 
+@query("E9_json", f"SELECT answer, json FROM {golden.sql(golden.ANSWERS, ['answer', 'json'])}")
+def answers(spark, sf_dir):
+    return repair.parsed(_rows(spark, golden.ANSWERS, ["answer", "j"]).select("answer")).select("answer", "json")
+
+
 @query("E3_clean", "SELECT event_id, CASE WHEN lower(trim(event_type)) NOT IN ('', 'null', 'none', 'n/a', 'unknown') THEN substring(trim(event_type), 1, 4) END AS kind FROM events")
 def cleaned(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", validation.clean(F.col("event_type"), 4).alias("kind"))

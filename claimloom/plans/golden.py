@@ -21,6 +21,8 @@ PAYLOADS = [
     ("Acme", "Revenue", "5.6 percent of", "q", "0.8", "value looks truncated mid-phrase"), (None, "Outlook", "well positioned to", "q", None, "value looks truncated mid-phrase"), (" n/a ", "Revenue", "12", "stood at 12", "7", ""),
     ("Acme", " none ", "12", "q", "x", "missing attribute"), ("Acme", "Revenue", "NULL", "q", "0.5", "missing value"), ("Acme", "Revenue", "12", "  ", "0.5", "missing evidence quote"), ("Acme", "Ratio; a=b", "a=b", "q", "-3", ""),
 ]
+#: Models' answers and what they are as JSON.
+ANSWERS = [("[1, 2]", "[1, 2]"), ('so {"a": 1,} it is', '{"a": 1}'), ('[{"a": 1}, {"a": 2}, {"b"', '[{"a": 1}, {"a": 2}]'), ("```json\n[3,]\n```", "[3]"), ("none", None)]
 
 
 def sql(rows: list[tuple], names: list[str]) -> str:
