@@ -482,6 +482,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
        rarest elements, one of which linked sets must share, connect candidates: each hash's least document with the others.
     4. Connected candidates are clusters, which hold every link. A task takes a cluster at a time: components().
 
+    Parts of the hash space are as many as the session's shuffle partitions, so these must grow with the data, as for any shuffle.
+
     Null text counts as empty. Rows that share a doc_id are one node with the larger n_shingles, linked by any of its rows; null
     doc_ids are one such node, after all others. One row for each doc_id; an empty table gives none. Other columns are not read.
     """
