@@ -11,15 +11,16 @@ ROUNDS = 8
 #: Each kind's shape; a match starts only where its run of characters does, so scanning stays linear in the text.
 SHAPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "phone": r"(?<![\w+])\+1[ .-]?\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}(?!\w)"
+    "phone": r"(?<![\w+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)"
     r"|(?<![\w+])\+[2-9][0-9]{0,2}(?:[ -]?\(?[0-9]{2,4}\)?){2,3}(?!\w)"
+    r"|(?<![\w+(.-])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![\w-])"
     r"|(?<![\w+(.-])\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}(?![\w-])",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])",
     "card": r"(?<![\w+-])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\w)",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "date": r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![\w/-])",
     "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "key": r"(?<!\w)(?:AKIA[A-Z0-9]{16}|[0-9a-f]{40})(?!\w)",
+    "key": r"(?<!\w)(?:AKIA[A-Z0-9]{16}|[0-9A-Fa-f]{40})(?!\w)",
 }
 ANY = "|".join(SHAPES.values())
 #: 1800-01-01 to 2199-12-31 has 189 * 773 days.
@@ -92,6 +93,11 @@ def _ssn_parts(m: Column) -> list[Column]:
     return [F.substring(m, F.lit(a), F.lit(n)).cast("int") for a, n in ((1, 3), (5, 2), (8, 4))]
 
 
+def _mixed(m: Column) -> Column:
+    """Has a hex key letters of both cases?"""
+    return m.rlike("^[0-9A-Fa-f]{40}$") & m.rlike("[a-f]") & m.rlike("[A-F]")
+
+
 def _valid(m: Column, kind: Column) -> Column:
     """What a match of a kind must satisfy beyond its shape."""
     area, group, serial = _ssn_parts(m)
@@ -110,14 +116,16 @@ def _valid(m: Column, kind: Column) -> Column:
 
 def _places(m: Column, kind: Column) -> Column:
     """What of a match is permuted: an array of value, base and radix. Letters keep their case and digits stay digits; of American
-    phone numbers area and exchange begin with 2 to 9; the + and first digits of others, a card's first digit and AKIA stay."""
+    phone numbers area and exchange keep beginning with 2 to 9, or with 0 or 1; a hex key in both cases keeps its letters' places; the + and first digits of others, a card's first digit and AKIA stay."""
     number = lambda v, r, b=0: F.struct(v.cast("int").alias("v"), F.lit(b).alias("b"), F.lit(r).alias("r"))
+    base = lambda c: F.when(c.between(48, 57), 48).when(c.between(97, 122), 97).when(c.between(65, 90), 65).otherwise(c)
     area, group, serial = _ssn_parts(m)
     numbers = (
         F.when(kind == "ip", F.transform(F.split(m, r"\."), lambda x: number(x, 256)))
         .when(kind == "ssn", F.array(number(area - 1 - F.when(area > 666, 1).otherwise(0), 898), number(group - 1, 99), number(serial - 1, 9999)))
         .when(kind == "date", let(_day(_iso(m)), lambda n: F.array(number(F.floor(n / DAY_RADIX), DAYS // DAY_RADIX), number(n % DAY_RADIX, DAY_RADIX))))
-        .when((kind == "key") & ~m.startswith("AKIA"), F.transform(_chars(m), lambda c: number(F.ascii(c) - F.when(F.ascii(c) < 58, 48).otherwise(87), 16)))
+        .when((kind == "key") & _mixed(m), F.transform(_chars(m), lambda c: let(F.ascii(c), lambda x: F.struct((x - base(x)).alias("v"), base(x).alias("b"), F.when(base(x) == 48, 10).otherwise(6).alias("r")))))
+        .when((kind == "key") & ~m.startswith("AKIA"), F.transform(_chars(F.lower(m)), lambda c: number(F.ascii(c) - F.when(F.ascii(c) < 58, 48).otherwise(87), 16)))
     )
     part = (
         F.when(kind == "email", F.substring_index(m, "@", 1))
@@ -128,13 +136,10 @@ def _places(m: Column, kind: Column) -> Column:
     kept = F.when(kind == "card", 1).when(kind == "key", 4).when((kind == "phone") & m.startswith("+1"), 2).when((kind == "phone") & m.startswith("+"), 3).otherwise(0)
     first = F.when((kind == "phone") & m.startswith("+1"), 1).when((kind == "phone") & ~m.startswith("+"), 0)  # the area's first digit
 
-    def base(c: Column) -> Column:
-        return F.when(c.between(48, 57), 48).when(c.between(97, 122), 97).when(c.between(65, 90), 65).otherwise(c)
-
     def place(c: Column, i: Column, lead: Column, keep: Column) -> Column:
         stays = i < keep
-        b = F.when(stays, c).when(lead, 50).otherwise(base(c))
-        r = F.when(stays, 1).when(lead, 8).when(base(c) == 48, 10).when(base(c).isin(65, 97), 26).otherwise(1)
+        b = F.when(stays, c).when(lead & (c >= 50), 50).otherwise(base(c))
+        r = F.when(stays, 1).when(lead, F.when(c >= 50, 8).otherwise(2)).when(base(c) == 48, 10).when(base(c).isin(65, 97), 26).otherwise(1)
         return F.struct((c - b).alias("v"), b.alias("b"), r.alias("r"))
 
     def leads(i: Column) -> Column:
@@ -166,7 +171,7 @@ def _shaped(m: Column, kind: Column, v: Column, text: Column) -> Column:
         .when(kind == "ssn", F.concat_ws("-", pad(at(0) + 1 + F.when(at(0) >= 665, 1).otherwise(0), 3), pad(at(1) + 1, 2), pad(at(2) + 1, 4)))
         .when(kind == "date", dated)
         .when(kind == "iban", F.concat(country, pad(98 - _mod97(F.concat(_flat(text), country, F.lit("00"))), 2), text))
-        .when((kind == "key") & ~m.startswith("AKIA"), F.array_join(F.transform(v, lambda x: F.lower(F.hex(x))), ""))
+        .when((kind == "key") & ~m.startswith("AKIA") & ~_mixed(m), F.array_join(F.transform(v, lambda x: F.when(m.rlike("[A-F]"), F.hex(x)).otherwise(F.lower(F.hex(x)))), ""))
         .otherwise(text)
     )
 
@@ -193,7 +198,8 @@ def pseudonymised(docs: DataFrame, key: str = "pii") -> DataFrame:
     E-mail local parts, phone numbers, IPv4 addresses, payment cards (Luhn), social security numbers, IBANs (mod 97), dates and
     access keys are permuted by feistel() within their format, so equal values stay equal over all documents, different ones of a
     format stay different, and what validated validates again. What only looks like one (a number that doesn't check, an impossible
-    date) stays. The text is cut at the matches and put together again, whole; texts without a digit or @ aren't searched.
+    date) stays. American phone numbers may have any area and exchange after +1 or with the area in brackets; a hex key in upper
+    case gets its lower-case twin's pseudonym in upper case. The text is cut at the matches and put together again, whole; texts without a digit or @ aren't searched.
 
     Narrow: no shuffle, join or Python. Null text stays null with no kinds; other columns are kept, and a column pii_kinds is
     replaced. Rows that repeat give equal rows; an empty table gives none.

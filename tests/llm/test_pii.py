@@ -124,3 +124,29 @@ def test_validity_and_different_values_stay_different(spark):
     assert all(luhn(c) % 10 == 0 and len(c) == 16 and date.fromisoformat(d) for c, d in got)
     other = [x.text.split() for x in pseudonymised(df, key="another").collect()]
     assert other != got
+
+
+#: Written for this test alone, not taken from the operator.
+PHONE, HEX = r"(?:\+1 ?)?\(\d\d\d\) ?\d\d\d-\d\d\d\d|\+1[-.]\d\d\d[-.]\d\d\d[-.]\d\d\d\d", r"\b[0-9a-fA-F]{40}\b"
+
+
+def test_any_area_code_and_upper_case_hex(spark):
+    token = "7c529a94f5d1c3f6a960243406caaaf8e6185747"
+    mixed = token[:20] + token[20:].upper()
+    found = ["+1 (017) 555-7713", "+1 (139) 555-2766", "+1 (212) 055-2766", "+1-017-155-7713", "(017) 555-7713", "(212)555-0147", token, token.upper(), mixed]
+    got = pseudonymised(spark.createDataFrame([(i, f"see {x} or") for i, x in enumerate(found)], "doc_id long, text string")).orderBy("doc_id").collect()
+    new = [x.text[4:-3] for x in got]
+    assert [x.pii_kinds for x in got] == [["phone"]] * 6 + [["key"]] * 3
+    for x, y in zip(found, new, strict=True):
+        assert x != y and re.fullmatch(PHONE if "-" in x else HEX, y) and re.sub(r"\w", "", x) == re.sub(r"\w", "", y)
+    assert new[7] == new[6].upper() != new[6] and [c.isupper() for c in new[8]] == [c.isupper() for c in mixed]
+    tables = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs = spark.createDataFrame(list(enumerate(tables)), "doc_id long, text string")
+    old, new = ({(i, m) for i, t in rows for m in re.findall(f"{PHONE}|{HEX}", t or "")} for rows in (enumerate(tables), ((x.doc_id, x.text) for x in pseudonymised(docs).collect())))
+    assert old and not old & new
+
+
+def test_numbers_of_any_area_stay_different(spark):
+    found = [f"+1 ({a:03}) {e}55-7713" for a in range(1000) for e in (0, 1, 5)]
+    got = [x.text for x in pseudonymised(spark.createDataFrame([(i, x) for i, x in enumerate(found)], "doc_id long, text string")).collect()]
+    assert len(set(got)) == len(found) and all(re.fullmatch(PHONE, x) for x in got)
