@@ -77,3 +77,25 @@ def test_rows(spark):
     whole = b"".join(x.ids for x in sorted((x for x in got if x.doc_id == 3), key=lambda x: x.start))
     assert zlib.crc32(whole[-4:]) == zlib.crc32(np.array([2], "<u4").tobytes())
     assert packing.pack(spark.createDataFrame(rows[:1], "doc_id long, text string, n int"), window=2).count() == 2
+
+
+def test_all_terms_of_a_seed_count(spark):
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    words = [w for w in sorted(lib.get_vocab()) if w.isascii() and w.isalpha() and w.islower() and len(w) > 3 and len(lib.encode(w, add_special_tokens=False).ids) == 1][:280]
+    own, shared = words[:20], words[20:40]
+    others = [" ".join(words[40 * j : 40 * j + 40]) for j in range(1, 7)]
+    texts = [" ".join(own * 4 + shared), *others, " ".join(shared * 3)]  # the seed's 12 best terms are all among its own
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = pack(rows, window=512).where("sequence_id = 0").orderBy("offset").collect()
+    assert [x.doc_id for x in got][:2] == [0, 7]
+
+
+def test_scores_by_postings_and_by_rows():
+    r = random.Random(5)
+    docs = [np.array([min(int(r.paretovariate(0.4)), 900) for _ in range(r.randint(1, 120))], "<u4") for _ in range(90)]
+    s, avg = Shard(docs), sum(map(len, docs)) / len(docs)
+    df = {t: sum(t in d for d in docs) for t in {int(t) for d in docs for t in d}}
+    assert min(df.values()) < 9 < max(df.values())  # both ways are used
+    for q in docs[:20]:
+        want = [sum(np.log1p((90 - df[t] + 0.5) / (df[t] + 0.5)) * (n := int((d == t).sum())) * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(d) / avg)) for t in {int(t) for t in q}) for d in docs]
+        assert np.allclose(s.scores(q), want, rtol=1e-4)
