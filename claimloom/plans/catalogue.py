@@ -288,18 +288,26 @@ def fold(spark, sf_dir):
 QUOTES = """d AS (SELECT doc_id, %s AS t FROM documents), b AS (SELECT item_id, regexp_extract(%s, '^(\\S+ \\S+ \\S+ \\S+ \\S+ \\S+)', 1) AS q FROM benchmark)""" % (FOLD.format("text"), FOLD.format("text"))
 
 
-def _first_words(c):
-    return F.regexp_extract(grounding.folded(c, nfkc=False), r"^(\S+ \S+ \S+ \S+ \S+ \S+)", 1)
-
-
 @query("G2_verbatim", f"WITH {QUOTES}, w AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(string_split(t, ' ')) - 4, 1)), lambda i: array_to_string(string_split(t, ' ')[i:i + 5], ' ')))) AS s FROM d) SELECT item_id, doc_id FROM b JOIN w ON b.q = w.s WHERE b.q <> ''")
 def verbatim(spark, sf_dir):
-    """Documents that hold a benchmark item's first six words: an equi-join on word six-grams, not a scan of all pairs."""
-    of = lambda w: F.when(F.size(w) >= 6, F.transform(F.sequence(F.lit(1), F.size(w) - 5), lambda i: F.array_join(F.slice(w, i, 6), " ")))
-    six = let(F.split(grounding.folded(F.col("text"), nfkc=False), " "), of)
-    grams = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(six)).alias("q"))
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", _first_words(F.col("text")).alias("q")).where("q <> ''")
-    return grams.join(quotes, "q").select("item_id", "doc_id")
+    """Documents that hold a whole benchmark item, both folded. Candidates are an equi-join on the item's words from the second on, six
+    at most and never its last, which stand whole in any text that holds it; items of one or two words are looked for in every document."""
+    fold = lambda c: grounding.folded(F.col(c), nfkc=False)
+    docs = table(spark, sf_dir, "documents").select("doc_id", fold("text").alias("t"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", fold("text").alias("q")).where("q <> ''").withColumn("k", F.least(F.size(F.split("q", " ")) - 2, F.lit(6)))
+    held = F.contains("t", "q")
+    of = lambda w, k: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))).otherwise(F.array())
+    sizes = sorted(r.k for r in items.select("k").distinct().collect())
+    out = docs.limit(0).crossJoin(items.limit(0))
+    if sizes and sizes[0] < 1:
+        out = out.unionByName(docs.join(items.where("k < 1"), held))
+    if sizes := [k for k in sizes if k > 0]:
+        grams = docs.select("doc_id", F.explode(let(F.split("t", " "), lambda w: F.array_distinct(F.flatten(F.array(*[of(w, k) for k in sizes]))))).alias("gram"))
+        own = items.where("k > 0").select("item_id", F.array_join(F.slice(F.split("q", " "), F.lit(2), F.col("k")), " ").alias("gram"))
+        near = grams.join(own, "gram").select(F.col("doc_id").alias("d"), F.col("item_id").alias("i")).distinct()
+        found = near.join(docs, F.col("d").eqNullSafe(F.col("doc_id"))).join(items.where("k > 0"), F.col("i").eqNullSafe(F.col("item_id")))
+        out = out.unionByName(found.where(held).drop("d", "i"))
+    return out.select("item_id", "doc_id")
 
 
 @query("G6_value_in_span", f"WITH {KEYED}, n AS (SELECT id, lower(value_raw) AS v, lower(evidence_quote) AS q FROM claims), g AS (SELECT id, v, q, regexp_replace(v, '[^0-9]', '', 'g') AS d, regexp_replace(q, '[^0-9]', '', 'g') AS e FROM n) SELECT id, CASE WHEN contains(q, v) THEN '' WHEN contains(e, d) THEN '' ELSE concat('value digits ''', d, ''' not present in the quoted evidence') END AS reason FROM g")

@@ -66,3 +66,14 @@ def test_stream_appends_each_content_once(spark, tmp_path):
         ingest_stream(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / f"cp{_}")).awaitTermination(120)
     assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [1, 2]
     assert os.path.isdir(tmp_path / "store")
+
+
+def test_verbatim_compares_whole_items(spark, tmp_path):
+    items = [(1, "one two three four five six seven eight nine"), (2, "Just Four words here"), (3, "single"), (4, ""), (5, None), (None, "alpha  beta gamma"), (6, "two words"), (7, "the a b c d e f g end")]
+    docs = [(1, "x one two three four five six seven eight nine y"), (2, "one two three four five six and not the rest"), (3, "just four\nWORDS here"), (4, "a singleton of two words"), (None, "say alpha beta gammas"), (5, None), (5, "just four words hereafter"), (8, "bathe a b c d e f g ended")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    fold = lambda x: " ".join((x or "").lower().split())
+    want = [(i, d) for i, q in items for d, t in docs if fold(q) and fold(q) in fold(t)]
+    got = [tuple(r) for r in catalogue.verbatim(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and (1, 2) not in got and len(want) == 7
