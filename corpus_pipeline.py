@@ -1,12 +1,14 @@
 """The corpus pipeline. Each stage takes and returns a table of documents; it is written and read again between stages.
 
-Rows are known by doc_id: rows that share one are taken or left together, null doc_ids too. Null texts count as empty, and go in the first stage. An
+Of rows that share a doc_id each text is taken or left by itself, equal ones together; of null doc_ids each row is. Null texts count as empty, and go in the first stage. An
 empty table stays empty. Other columns are kept as they are, whatever their names, until packing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm import dedup, jaccard, langid, packing, pii
@@ -16,10 +18,22 @@ from claimloom.llm.common import written
 ORACLE_SQL = None
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids."""
-    ids = ids.select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept_id"]), "left_semi")
+def _keep(docs: DataFrame, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of docs whose doc_id is in kept(docs). Where some are null or repeated, rows are numbered in the order of doc_id, null last, in a
+    table, and kept() gets the numbers in place of doc_id: one for each row of a null doc_id and for each text of another."""
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count()
+    if ids.where("doc_id IS NULL OR count > 1").isEmpty():
+        own = kept(docs).select(F.col("doc_id").alias("__kept_id"))
+        return docs.join(own, docs["doc_id"] == own["__kept_id"], "left_semi")
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    known, number = F.col("doc_id").cast("long"), F.monotonically_increasing_id()
+    rows = written(docs.withColumn(row, number).orderBy(known.asc_nulls_last(), row).withColumn(row, number), "rows")
+    same = Window.partitionBy(known, "text", F.when(known.isNull(), F.col(row)))
+    rows = rows.withColumn(row, F.min(row).over(same))
+    own = kept(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("__kept_id"))
+    return rows.join(own, rows[row] == own["__kept_id"], "left_semi").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +44,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal but for white space."""
-    return _keep(docs, dedup.exact_dedup(docs).where("kept").select("doc_id"))
+    return _keep(docs, lambda own: dedup.exact_dedup(own).where("kept").select("doc_id"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, the one of smallest doc_id."""
-    return _keep(docs, jaccard.jaccard_components(docs).where("doc_id <=> component_id").select("doc_id"))
+    return _keep(docs, lambda own: jaccard.jaccard_components(own).where("doc_id = component_id").select("doc_id"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

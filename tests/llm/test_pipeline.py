@@ -81,3 +81,14 @@ def test_run(spark, tmp_path):
     spark.createDataFrame(corpus(spark), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     out = pipeline.run(spark, str(tmp_path))
     assert out.count() >= 60 and [k for k, _ in pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "pii", "packing"]
+
+
+def test_rows_of_null_or_shared_ids_are_decided_one_by_one(spark):
+    t, u = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, t), (None, t + " end"), (None, "clean text alone"), (None, "clean text alone "), (None, "another clean one"), (7, u), (7, "unlike the other seven"), (3, u + " end"), (9, u), (9, "nine has more")]
+    docs = spark.createDataFrame([(i, x, "k") for i, x in rows], "doc_id long, text string, __row string").repartition(3)
+    got = lambda stage: sorted(((x.doc_id, x.text.strip()) for x in stage(spark, docs, "").collect()), key=str)
+    clean = [(None, "another clean one"), (None, "clean text alone"), (1, t), (7, "unlike the other seven"), (9, "nine has more"), (3, u + " end")]
+    assert got(pipeline.exact) == sorted([*clean, (None, t + " end"), (7, u)], key=str)
+    assert got(pipeline.near) == sorted(clean, key=str)
+    assert pipeline.near(spark, docs, "").columns == docs.columns
