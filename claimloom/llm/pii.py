@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import table
 
 ROUNDS = 8
-#: Each kind's shape; a match starts only where its run of characters does, so scanning stays linear in the text.
+#: Each kind's shape; a match starts only where its run of characters does, so scanning stays linear in the text. No group repeats
+#: without a bound: Java's matcher recurses for each turn of such a group, and a long match would overflow its stack.
 SHAPES = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++",
     "phone": r"(?<![\w+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)"
     r"|(?<![\w+])\+[2-9][0-9]{0,2}(?:[ -]?\(?[0-9]{2,4}\)?){2,3}(?!\w)"
     r"|(?<![\w+(.-])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![\w-])"
@@ -101,9 +102,9 @@ def _mixed(m: Column) -> Column:
 def _valid(m: Column, kind: Column) -> Column:
     """What a match of a kind must satisfy beyond its shape."""
     area, group, serial = _ssn_parts(m)
-    domain = F.substring_index(m, "@", -1)
+    domain = F.rtrim(F.substring_index(F.substring_index(m, "@", -1), "..", 1), F.lit(".-"))
     return (
-        F.when(kind == "email", domain.rlike(r"\.[A-Za-z]{2,}$") & (F.char_length(F.substring_index(m, "@", 1)) <= 64) & (F.char_length(domain) <= 255))
+        F.when(kind == "email", (F.char_length(F.substring_index(m, "@", 1)) <= 64) & (F.char_length(domain) <= 255) & domain.rlike(r"\.[A-Za-z]{2,}$"))
         .when(kind == "phone", ~m.startswith("+") | F.char_length(_digits(m)).between(8, 15))
         .when(kind == "ip", F.forall(F.split(m, r"\."), lambda x: x.cast("int") < 256))
         .when(kind == "card", (_luhn(_digits(m)) % 10 == 0) & m.rlike("[1-9]"))
@@ -115,8 +116,10 @@ def _valid(m: Column, kind: Column) -> Column:
 
 
 def _places(m: Column, kind: Column) -> Column:
-    """What of a match is permuted: an array of value, base and radix. Letters keep their case and digits stay digits; of American
-    phone numbers area and exchange keep beginning with 2 to 9, or with 0 or 1; a hex key in both cases keeps its letters' places; the + and first digits of others, a card's first digit and AKIA stay."""
+    """What of a match is permuted: an array of value, base and radix. Letters keep their case and digits stay digits. Separators are no
+    part of phone numbers, cards and IBANs, so a value's spellings are permuted alike; +1 and the bare ten digits are one value.
+    Of American numbers area and exchange keep beginning with 2 to 9, or with 0 or 1; a hex key in both cases keeps its letters' places;
+    the first two digits of other phone numbers, a card's first digit and AKIA stay."""
     number = lambda v, r, b=0: F.struct(v.cast("int").alias("v"), F.lit(b).alias("b"), F.lit(r).alias("r"))
     base = lambda c: F.when(c.between(48, 57), 48).when(c.between(97, 122), 97).when(c.between(65, 90), 65).otherwise(c)
     area, group, serial = _ssn_parts(m)
@@ -127,29 +130,39 @@ def _places(m: Column, kind: Column) -> Column:
         .when((kind == "key") & _mixed(m), F.transform(_chars(m), lambda c: let(F.ascii(c), lambda x: F.struct((x - base(x)).alias("v"), base(x).alias("b"), F.when(base(x) == 48, 10).otherwise(6).alias("r")))))
         .when((kind == "key") & ~m.startswith("AKIA"), F.transform(_chars(F.lower(m)), lambda c: number(F.ascii(c) - F.when(F.ascii(c) < 58, 48).otherwise(87), 16)))
     )
+    home = (kind == "phone") & (~m.startswith("+") | m.startswith("+1"))
     part = (
         F.when(kind == "email", F.substring_index(m, "@", 1))
-        .when(kind == "card", F.substring(m, F.lit(1), F.char_length(m) - 1))
-        .when(kind == "iban", F.substring(m, F.lit(5), F.char_length(m)))
+        .when(home, F.right(_digits(m), F.lit(10)))
+        .when(kind == "phone", _digits(m))
+        .when(kind == "card", let(_digits(m), lambda d: F.left(d, F.char_length(d) - 1)))
+        .when(kind == "iban", F.substring(_flat(m), F.lit(5), F.lit(99)))
         .otherwise(m)
     )
-    kept = F.when(kind == "card", 1).when(kind == "key", 4).when((kind == "phone") & m.startswith("+1"), 2).when((kind == "phone") & m.startswith("+"), 3).otherwise(0)
-    first = F.when((kind == "phone") & m.startswith("+1"), 1).when((kind == "phone") & ~m.startswith("+"), 0)  # the area's first digit
+    kept = F.when(kind == "card", 1).when(kind == "key", 4).when((kind == "phone") & ~home, 2).otherwise(0)
 
-    def place(c: Column, i: Column, lead: Column, keep: Column) -> Column:
-        stays = i < keep
+    def place(c: Column, i: Column, keep: Column) -> Column:
+        stays, lead = i < keep, home & i.isin(0, 3)
         b = F.when(stays, c).when(lead & (c >= 50), 50).otherwise(base(c))
         r = F.when(stays, 1).when(lead, F.when(c >= 50, 8).otherwise(2)).when(base(c) == 48, 10).when(base(c).isin(65, 97), 26).otherwise(1)
         return F.struct((c - b).alias("v"), b.alias("b"), r.alias("r"))
 
-    def leads(i: Column) -> Column:
-        before = F.char_length(_digits(F.substring(m, F.lit(1), i)))
-        return F.coalesce((first.isNotNull()) & F.substring(m, i + 1, F.lit(1)).rlike("[0-9]") & ((before == first) | (before == first + 3)), F.lit(False))
-
-    chars = let(kept, lambda keep: F.transform(_chars(part), lambda c, i: place(F.ascii(c), i, leads(i), keep)))
+    chars = let(kept, lambda keep: F.transform(_chars(part), lambda c, i: place(F.ascii(c), i, keep)))
     return F.coalesce(numbers, chars)
 
 
+def _laid(m: Column, new: Column, what: str, skip: int = 0) -> Column:
+    """m with its characters that match `what`, but for the first `skip`, replaced one after another by those of new."""
+    step = lambda a, c: let(
+        c.rlike(what),
+        lambda own: F.struct(
+            (a["n"] + own.cast("int")).alias("n"),
+            F.concat(a["out"], F.when(own & (a["n"] >= skip), F.substring(new, a["n"] + 1 - skip, F.lit(1))).otherwise(c)).alias("out"),
+        ),
+    )
+    return F.aggregate(_chars(m), F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), step, lambda a: a["out"])
+
+
 def _shaped(m: Column, kind: Column, v: Column, text: Column) -> Column:
     """The pseudonym from the permuted numbers v, and text, the characters that they and their bases make."""
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
@@ -167,10 +180,11 @@ def _shaped(m: Column, kind: Column, v: Column, text: Column) -> Column:
     return (
         F.when(kind == "email", F.concat(text, F.lit("@"), F.substring_index(m, "@", -1)))
         .when(kind == "ip", F.array_join(F.transform(v, lambda x: x.cast("string")), "."))
-        .when(kind == "card", F.concat(text, ((10 - _luhn(F.concat(_digits(text), F.lit("0"))) % 10) % 10).cast("string")))
+        .when(kind == "phone", F.when(m.startswith("+1"), _laid(m, text, "[0-9]", 1)).otherwise(_laid(m, text, "[0-9]")))
+        .when(kind == "card", _laid(m, F.concat(text, ((10 - _luhn(F.concat(text, F.lit("0"))) % 10) % 10).cast("string")), "[0-9]"))
         .when(kind == "ssn", F.concat_ws("-", pad(at(0) + 1 + F.when(at(0) >= 665, 1).otherwise(0), 3), pad(at(1) + 1, 2), pad(at(2) + 1, 4)))
         .when(kind == "date", dated)
-        .when(kind == "iban", F.concat(country, pad(98 - _mod97(F.concat(_flat(text), country, F.lit("00"))), 2), text))
+        .when(kind == "iban", _laid(m, F.concat(country, pad(98 - _mod97(F.concat(text, country, F.lit("00"))), 2), text), "[A-Z0-9]"))
         .when((kind == "key") & ~m.startswith("AKIA") & ~_mixed(m), F.array_join(F.transform(v, lambda x: F.when(m.rlike("[A-F]"), F.hex(x)).otherwise(F.lower(F.hex(x)))), ""))
         .otherwise(text)
     )
@@ -183,7 +197,7 @@ def pseudonym(m: Column, key: str) -> Column:
         of = of.when(m.rlike(f"^(?:{SHAPES[kind]})$"), kind)
 
     def permuted(kind: Column, places: Column) -> Column:
-        salt = F.concat(F.lit(f"{key}\x1f"), kind, F.when((kind == "phone") & ~m.startswith("+"), "-home").otherwise(""))
+        salt = F.concat(F.lit(f"{key}\x1f"), kind, F.when((kind == "phone") & (~m.startswith("+") | m.startswith("+1")), "-home").otherwise(""))
         new = feistel(F.transform(places, lambda p: p["v"]), F.transform(places, lambda p: p["r"]), salt)
         joined = lambda v: F.array_join(F.zip_with(v, places, lambda x, p: F.chr(x + p["b"])), "")
         return let(new, lambda v: let(joined(v), lambda text: _shaped(m, kind, v, text)))
@@ -192,18 +206,24 @@ def pseudonym(m: Column, key: str) -> Column:
     return F.coalesce(let(of, named), F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value")))
 
 
-def pseudonymised(docs: DataFrame, key: str = "pii") -> DataFrame:
+#: The key of the registered queries, for tests alone: whoever knows a key can undo its pseudonyms.
+QUERY_KEY = "pii"
+
+
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """docs with text pseudonymised, and pii_kinds (array, a kind for each value replaced, in the text's order).
 
     E-mail local parts, phone numbers, IPv4 addresses, payment cards (Luhn), social security numbers, IBANs (mod 97), dates and
-    access keys are permuted by feistel() within their format, so equal values stay equal over all documents, different ones of a
-    format stay different, and what validated validates again. What only looks like one (a number that doesn't check, an impossible
+    access keys are permuted by feistel() within their format, so equal values stay equal over all documents, however they are spaced,
+    different ones of a format stay different, and what validated validates again. `key` is the secret; without it there is a ValueError. What only looks like one (a number that doesn't check, an impossible
     date) stays. American phone numbers may have any area and exchange after +1 or with the area in brackets; a hex key in upper
     case gets its lower-case twin's pseudonym in upper case. The text is cut at the matches and put together again, whole; texts without a digit or @ aren't searched.
 
     Narrow: no shuffle, join or Python. Null text stays null with no kinds; other columns are kept, and a column pii_kinds is
     replaced. Rows that repeat give equal rows; an empty table gives none.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col("text")
     hot = text.rlike("[0-9@]") & text.rlike(ANY)
     out = docs.withColumn("pii_kinds", F.when(hot, F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key))))
@@ -214,5 +234,5 @@ def pseudonymised(docs: DataFrame, key: str = "pii") -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)
     return out.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct("pii_kinds")), ",").alias("kinds"))
