@@ -53,8 +53,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with pseudonyms for what is private. n_chars is that of the new text."""
-    out = pii.pseudonymised(docs)
+    """Every document, with pseudonyms for what is private. n_chars is that of the new text. The key is the session's
+    spark.claimloom.pii.key; only where it is unset, that of the registered queries, which is no secret."""
+    out = pii.pseudonymised(docs, spark.conf.get("spark.claimloom.pii.key", pii.QUERY_KEY))
     return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
