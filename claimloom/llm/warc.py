@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import io
 import os
 import uuid
 import zlib
@@ -37,21 +36,22 @@ def _opened(uri: str, mode: str) -> BinaryIO:
     return store.open_input_file(path)
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:claimloom:page:{'' if page_id is None else page_id}>"
+def record_id(page_id: int | None, row: int) -> str:
+    """The id of a page's record; the row's number keeps apart records of pages whose ids are null or repeat."""
+    return f"<urn:claimloom:page:{'' if page_id is None else page_id}:{row}>"
 
 
-def record(kind: str, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One WARC record with its HTTP head; a revisit has no payload, but the full payload's digest and length."""
+def record(kind: str, rid: str, url: str, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
+    """One WARC record with its HTTP head; a revisit has no payload, but the full payload's digest and length, and its response's id."""
     clean = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = http + (payload if kind == "response" else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {clean}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", f"WARC-Date: {date}", f"WARC-Target-URI: {clean}",
         f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {len(payload)}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return ("\r\n".join(head) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
 
@@ -127,21 +127,26 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     An archive without records gives no index rows. Files must lie where every executor reaches them.
     """
 
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b["path"].to_pylist():
-                base = f"{folder}/{uuid.uuid4().hex}"
-                rows, lines = [], io.BytesIO()
-                for n, at, size, f in normalise_file(path, f"{base}.warc.gz"):
-                    uri, kind, rid = (f.get(k, "") for k in ("warc-target-uri", "warc-type", "warc-record-id"))
-                    lines.write(f"{at}\t{size}\t{kind}\t{rid}\t{uri}\n".encode())
-                    digest = f.get("warc-payload-digest", "").rpartition(":")[2]
-                    rows.append((f"{base}.warc.gz", f"{base}.idx", n, at, size, rid, kind, uri, digest, int(f.get("warc-payload-length", -1)), f.get("warc-refers-to")))
+                base, rows = f"{folder}/{uuid.uuid4().hex}", []
                 with _opened(f"{base}.idx", "wb") as out:
-                    out.write(lines.getvalue())
+                    for n, at, size, f in normalise_file(path, f"{base}.warc.gz"):
+                        uri, kind, rid = (f.get(k, "") for k in ("warc-target-uri", "warc-type", "warc-record-id"))
+                        out.write(f"{at}\t{size}\t{kind}\t{rid}\t{uri}\n".encode())
+                        digest = f.get("warc-payload-digest", "").rpartition(":")[2]
+                        rows.append((f"{base}.warc.gz", f"{base}.idx", n, at, size, rid, kind, uri, digest, int(f.get("warc-payload-length", -1)), f.get("warc-refers-to")))
+                        if len(rows) == 4096:
+                            yield batch(rows)
+                            rows = []
                 if rows:
-                    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+                    yield batch(rows)
 
     return archives.select("path").mapInArrow(run, INDEX)
 
@@ -171,13 +176,15 @@ def read_records(index: DataFrame) -> DataFrame:
 
 
 def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
-    """page_id, url, payload, payload_digest and refers_to: of equal payloads of at least `least` bytes the smallest page_id, for
-    the others. Only digests are grouped and joined; the join's skew is Spark's to split."""
+    """page_id, row, url, payload, payload_digest and refers_to (page_id and row): of equal payloads of at least `least` bytes the first row
+    of the smallest page_id, for the others. row numbers the rows of a table as its files hold them. Only digests are grouped and
+    joined; the join's skew is Spark's to split."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    own = own.withColumn("payload_digest", F.sha2("payload", 256))
-    big = own.where(F.octet_length("payload") >= least)
-    first = big.groupBy("payload_digest").agg(F.min("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return own.join(first, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", F.when(F.col("keep") < F.col("page_id"), F.col("keep")).alias("refers_to"))
+    own = own.withColumns({"payload_digest": F.sha2("payload", 256), "row": F.monotonically_increasing_id()})
+    big = own.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull())
+    first = big.groupBy("payload_digest").agg(F.min(F.struct("page_id", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
+    out = own.join(first.where("n > 1").select("payload_digest", "keep"), "payload_digest", "left")
+    return out.select("page_id", "row", "url", "payload", "payload_digest", F.when(F.col("keep.page_id") < F.col("page_id"), F.col("keep")).alias("refers_to"))
 
 
 def write_archives(marked: DataFrame, folder: str, archive_bytes: int = 1 << 25, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -195,11 +202,12 @@ def write_archives(marked: DataFrame, folder: str, archive_bytes: int = 1 << 25,
             done.append((path, n))
 
         for b in batches:
-            for page, url, payload, digest, refers in zip(*(b[k].to_pylist() for k in ("page_id", "url", "payload", "payload_digest", "refers_to")), strict=True):
+            for page, row, url, payload, digest, refers in zip(*(b[k].to_pylist() for k in ("page_id", "row", "url", "payload", "payload_digest", "refers_to")), strict=True):
                 if out is None:
                     path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                     out, z, size, n = _opened(path, "wb"), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0, 0
-                raw = record("response" if refers is None else "revisit", page, url, payload, digest, refers, date)
+                to = refers and record_id(refers["page_id"], refers["row"])
+                raw = record("revisit" if to else "response", record_id(page, row), url, payload, digest, to, date)
                 out.write(z.compress(raw))
                 size, n = size + len(raw), n + 1
                 if size >= archive_bytes:
@@ -217,16 +225,18 @@ def round_trip(pages: DataFrame, folder: str) -> DataFrame:
     """Pages to archives, normalised and read back: page_id, payload_bytes, payload_digest, record_type, refers_to, archive, offset.
 
     Each page gives a record (repeated rows too; of rows that repeat the smallest page_id all are responses). Null html is an
-    empty payload, null url an empty target; a null page_id has a record and is no target of a revisit, nor is it one.
+    empty payload, null url an empty target; a null page_id has a record and is no target of a revisit, nor is it one. Record ids differ
+    even where page ids repeat or are null.
     A response's digest and length are those of the payload as read; a revisit's are its record's. An empty table gives no rows.
     Other columns are not read.
     """
     marked = revisits(pages)
     archives = write_archives(marked, f"{folder}/whole")
-    index = written(normalise(archives.repartition(max(1, archives.count())), f"{folder}/members"), "warc-index")
-    read = read_records(index.repartition("archive").sortWithinPartitions("archive", "offset"))
+    tasks = max(1, archives.count())
+    index = written(normalise(archives.repartition(tasks), f"{folder}/members"), "warc-index")
+    read = read_records(index.repartition(tasks, "archive").sortWithinPartitions("archive", "offset"))
     field = lambda k: F.col("fields")[k]
-    number = lambda k: F.regexp_extract(field(k), r"^<urn:claimloom:page:(-?\d+)>$", 1).try_cast("long")
+    number = lambda k: F.regexp_extract(field(k), r"^<urn:claimloom:page:(-?\d+):\d+>$", 1).try_cast("long")
     response = field("warc-type") == "response"
     return read.select(
         number("warc-record-id").alias("page_id"),

@@ -5,11 +5,11 @@ import random
 
 import pytest
 
-from claimloom.llm.warc import inflated, normalise, normalise_file, parsed, read_records, record, records, round_trip
+from claimloom.llm.warc import inflated, normalise, normalise_file, parsed, read_records, record, record_id, records, revisits, round_trip, write_archives
 
 
 def raw(i, payload, kind="response"):
-    return record(kind, i, f"http://x/{i}", payload, hashlib.sha256(payload).hexdigest(), 3 if kind == "revisit" else None, "2024-01-01T00:00:00Z")
+    return record(kind, record_id(i, 0), f"http://x/{i}", payload, hashlib.sha256(payload).hexdigest(), record_id(3, 0) if kind == "revisit" else None, "2024-01-01T00:00:00Z")
 
 
 def test_members_and_offsets(tmp_path):
@@ -53,3 +53,20 @@ def test_sidecar_names_each_member(spark, tmp_path):
     assert [(int(x[0]), int(x[1]), x[2], x[3]) for x in lines] == [(r.offset, r.length, r.record_type, r.record_id) for r in rows]
     assert sum(r.length for r in rows) == os.path.getsize(rows[0].archive)
     assert sorted(bytes(r.payload) for r in read_records(index).collect()) == sorted(b"p%d" % i for i in range(20))
+
+
+def test_record_ids_are_unique_and_revisits_point_at_one(spark, tmp_path):
+    big = "é" * 60
+    rows = [(2, "u", big), (2, "u", big), (None, "u", big), (None, "u", "x"), (5, "u", big), (7, "u", big)]
+    own = write_archives(revisits(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)), str(tmp_path / "a"))
+    got = normalise(own, str(tmp_path / "b")).collect()
+    ids = [x.record_id for x in got]
+    assert len(set(ids)) == len(rows) and sorted(x.record_type for x in got) == ["response"] * 4 + ["revisit"] * 2
+    assert len({x.refers_to for x in got if x.refers_to}) == 1 and all(x.refers_to in ids for x in got if x.refers_to)
+    assert {x.record_type for x in got if ":page:2:" in x.record_id or ":page::" in x.record_id} == {"response"}
+
+
+def test_index_rows_come_in_batches(spark, tmp_path):
+    (tmp_path / "w.warc.gz").write_bytes(gzip.compress(b"".join(raw(i, b"p") for i in range(9000))))
+    index = normalise(spark.createDataFrame([(str(tmp_path / "w.warc.gz"),)], "path string"), str(tmp_path / "out"))
+    assert [x.record_no for x in index.orderBy("offset").collect()] == list(range(9000))
