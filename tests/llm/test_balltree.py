@@ -29,7 +29,7 @@ def test_against_brute_force(spark):
     rows += [(300 + i, [0.25] * 4) for i in range(70)]  # ties
     rows += [(5, None), (400, [1.0, None, 0.0, 0.0]), (405, [float("nan")] * 4), (410, [float("inf")] * 4), (None, [1.0] * 4), (415, [1.0, 2.0]), (416, [3.0, 2.0]), (420, []), (10, [9.0] * 4)]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, score int")
-    for shard, block, groups in ((2048, 2048, 8), (16, 7, 3), (50, 1000, 1)):
-        got = exact_topk(df, F.col("vec_id") % 5 == 0, shard_rows=shard, query_rows=block, groups=groups)
+    for shard, block, most in ((2048, 2048, 8), (16, 7, 3), (10, 1000, 100), (50, 11, 1)):
+        got = exact_topk(df, F.col("vec_id") % 5 == 0, shard_rows=shard, query_rows=block, group_shards=most)
         assert {tuple(x) for x in got.collect()} == brute(rows)
     assert exact_topk(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
