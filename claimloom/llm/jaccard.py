@@ -270,9 +270,9 @@ def _joined_stars(t: pa.Table) -> pa.Table:
 class DivideSkip:
     """Inverted lists over the sets added so far, searched for the sets that share at least `need` elements with a query."""
 
-    def __init__(self, heap_most: int = 2000):
+    def __init__(self):
         self.lists: dict[int, array] = {}
-        self.most, self.heap_most = 0, heap_most
+        self.most = 0
 
     def add(self, number: int, elements: list[int]) -> None:
         """Numbers must rise."""
@@ -298,8 +298,7 @@ class DivideSkip:
         while long and len(found[-long]) <= 8:  # short lists are cheaper merged
             long -= 1
         short, probed = found[: len(found) - long], found[len(found) - long :]
-        merge = self._heap if sum(map(len, short)) <= self.heap_most else self._sorted
-        number, n = merge(short, need - long)
+        number, n = self._heap(short, need - long)
         for i, x in enumerate(probed):
             still = n + (long - i) >= need
             if not still.all():
@@ -313,13 +312,6 @@ class DivideSkip:
         keep = n >= need
         return list(zip(number[keep].tolist(), n[keep].tolist(), strict=True))
 
-    @staticmethod
-    def _sorted(lists: list[array], want: int) -> tuple[np.ndarray, np.ndarray]:
-        """The merge of many entries, as one count over them all."""
-        n = np.bincount(np.concatenate([np.frombuffer(x, np.int32) for x in lists]))
-        number = np.flatnonzero(n >= max(want, 1)).astype(np.int32)
-        return number, n[number]
-
     @staticmethod
     def _heap(lists: list[array], want: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers on at least `want` lists, from a heap of the lists' heads that skips to where `want` of them can meet."""
@@ -351,8 +343,8 @@ def linked(overlap: int, n: int, m: int) -> bool:
     return 100 * overlap >= 80 * (n + m - overlap)
 
 
-def components(docs: list[int], sets: list[np.ndarray]) -> list[int]:
-    """The component (its least document) of each set, over all links among them.
+def components(docs: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """The component (its least document) of each set, over all links among them, and which sets lead. Sets of one document are linked.
 
     Sets come by size; each is looked up among the leaders so far. Jaccard distance is a metric, so a set that links with a
     leader's follower (within 0.2 of it) lies within 0.4 of the leader: a T-occurrence search at similarity 0.6 finds every leader
@@ -373,6 +365,9 @@ def components(docs: list[int], sets: list[np.ndarray]) -> list[int]:
         if i != j:
             parent[max(i, j)] = min(i, j)
 
+    first: dict[int, int] = {}
+    for i, d in enumerate(docs):
+        join(first.setdefault(d, i), i)
     order = sorted(range(len(docs)), key=lambda i: (len(sets[i]), docs[i]))
     index, leaders, followers = DivideSkip(), [], []
     for i in order:
@@ -405,28 +400,107 @@ def components(docs: list[int], sets: list[np.ndarray]) -> list[int]:
     for i, d in enumerate(docs):
         r = root(i)
         low[r] = min(d, low.get(r, d))
-    return [low[root(i)] for i in range(len(docs))]
+    return [low[root(i)] for i in range(len(docs))], leaders
+
+
+FOUND = "cluster long, doc long, component long, n long, elements binary"
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by cluster; memory holds one cluster."""
+    """Rows come by cluster and chunk; memory holds one chunk. Leaders keep their elements."""
     at, docs, sets = None, [], []
 
     def done() -> pa.RecordBatch:
-        return _batch([docs, components(docs, sets)], "rep long, component long")
+        comp, lead = components(docs, sets)
+        leads = set(lead)
+        raw = [s.tobytes() if i in leads else None for i, s in enumerate(sets)]
+        return _batch([[at[0]] * len(docs), docs, comp, [len(s) for s in sets], raw], FOUND)
 
     for b in batches:
-        for cluster, doc, raw in zip(b["cluster"].to_pylist(), b["doc"].to_pylist(), b["elements"], strict=True):
-            if cluster != at:
+        for cluster, chunk, doc, raw in zip(b["cluster"].to_pylist(), b["chunk"].to_pylist(), b["doc"].to_pylist(), b["elements"], strict=True):
+            if (cluster, chunk) != at:
                 if docs:
                     yield done()
-                at, docs, sets = cluster, [], []
+                at, docs, sets = (cluster, chunk), [], []
             docs.append(doc)
             sets.append(np.frombuffer(raw.as_py(), np.uint64))
     if docs:
         yield done()
 
 
+def _searched(sets: DataFrame) -> DataFrame:
+    """The components within each cluster and chunk of sets, as a table."""
+    dealt = sets.select("cluster", "chunk", "doc", "elements").repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "doc")
+    return written(dealt.mapInArrow(_search, FOUND), "jaccard-found")
+
+
+def _chunked(sets: DataFrame, most: int, salt: int) -> tuple[DataFrame, int]:
+    """sets with a chunk for each, in clusters cut at random so that a chunk has about `most` elements; and how many clusters are cut.
+    What is broadcast is a row for each of these, so at most one for every `most` elements of all sets."""
+    big = written(sets.groupBy("cluster").agg(F.sum("n").alias("total")).where(F.col("total") > most).select("cluster", F.ceil(F.col("total") / most).cast("int").alias("chunks")), "jaccard-big")
+    own = sets.join(F.broadcast(big), "cluster", "left")
+    return own.withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc", F.lit(salt)), F.col("chunks")), F.lit(0)).cast("long")).drop("chunks"), big.count()
+
+
+def _clustered(sets: DataFrame, most: int = BLOCK) -> DataFrame:
+    """rep and component: the components of sets (cluster, doc, n, elements), no two of different clusters being linked.
+
+    A task takes a cluster, or of one that has more than `most` elements a chunk. Then the leaders of chunks that belong together are
+    searched in the same way, until each cluster's leaders are one chunk or don't get fewer. So a large group of near copies becomes one
+    component although no task saw it whole. What may still be missed is a link between sets that follow leaders of different
+    components: so the cluster is cut again, by components (of which only large ones are cut), and the pairs of its chunks are
+    searched, but for those of one component. That work grows with the square of a cluster's chunks that aren't yet known to belong together.
+    """
+    now, cut = _chunked(sets, most, 0)
+    found = _searched(now)
+    links = [found]
+    if cut:
+        level, lead, before = 0, found.where("elements IS NOT NULL"), None
+        while cut:
+            level += 1
+            lead, cut = _chunked(lead.select("cluster", "doc", "n", "elements"), most, level)
+            count = lead.count()
+            if cut and before is not None and count > 0.9 * before:
+                break
+            before = count
+            again = _searched(lead)
+            links.append(again)
+            lead = again.where("elements IS NOT NULL")
+        links.append(_across(sets, links, most))
+    pairs = None
+    for x in links:
+        own = x.select(F.col("component").alias("a"), F.col("doc").alias("b"))
+        pairs = own if pairs is None else pairs.unionByName(own)
+    if cut == 0 and len(links) == 1:
+        return written(pairs.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("component")), "jaccard-components")
+    low = connected(pairs.where("a <> b"))
+    return sets.select(F.col("doc").alias("rep")).distinct().join(low.withColumnRenamed("doc", "rep"), "rep", "left").select("rep", F.coalesce("cluster", "rep").alias("component"))
+
+
+def _across(sets: DataFrame, links: list[DataFrame], most: int) -> DataFrame:
+    """The components within each two chunks of clusters of more than `most` elements, see _clustered()."""
+    pairs = links[0].select("component", "doc")
+    for x in links[1:]:
+        pairs = pairs.unionByName(x.select("component", "doc"))
+    low = connected(pairs.where("component <> doc").select(F.col("component").alias("a"), F.col("doc").alias("b"))).select("doc", F.col("cluster").alias("comp"))
+    big = sets.groupBy("cluster").agg(F.sum("n").alias("total")).where(F.col("total") > most).select("cluster")
+    own = sets.join(F.broadcast(big), "cluster").join(low, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    own = written(own, "jaccard-parts")
+    size = own.groupBy("cluster", "comp").agg(F.sum("n").alias("total"))
+    rest = size.where(F.col("total") <= most).groupBy("cluster").agg(F.ceil(F.sum("total") / most).cast("int").alias("bins"))
+    large = size.where(F.col("total") > most).select("cluster", "comp", F.ceil(F.col("total") / most).cast("int").alias("cuts"))
+    own = own.join(F.broadcast(large), ["cluster", "comp"], "left").join(F.broadcast(rest), "cluster", "left")
+    whole = F.col("cuts").isNotNull()
+    piece = F.when(whole, F.pmod(F.xxhash64("doc"), F.col("cuts"))).otherwise(F.pmod(F.xxhash64("comp"), F.col("bins"))).cast("int")
+    own = written(own.select("cluster", "doc", "elements", F.struct(F.when(whole, F.col("comp")).alias("of"), piece.alias("piece")).alias("part")), "jaccard-cut")
+    parts = own.select("cluster", "part").distinct()
+    a, b = parts.select("cluster", F.col("part").alias("x")), parts.select("cluster", F.col("part").alias("y"))
+    pair = a.join(b, "cluster").where("x <= y AND (x.of IS NULL OR y.of IS NULL OR x.of <> y.of)").withColumn("chunk", F.monotonically_increasing_id())
+    pair = written(pair, "jaccard-pairs")
+    side = pair.select("cluster", "chunk", F.explode(F.array_distinct(F.array("x", "y"))).alias("part"))
+    return _searched(own.join(side, ["cluster", "part"]))
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a partition to as few: each of its documents with the least it reaches there."""
     parent: dict[int, int] = {}
@@ -447,27 +521,33 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(list(zip(*pairs, strict=True)), "a long, b long")
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, hub: int = 256) -> DataFrame:
     """doc, cluster (the least document reachable) of all documents in links (a, b).
 
     In every turn each link goes to the tasks of both its ends, and a task contracts what it has to stars around the least document.
-    When a turn changes nothing, no document has two links but a star's middle, so the stars are the components. A turn is one
-    shuffle of at most two rows for each link; turns grow with the logarithm of the longest chain. Every turn's links are a table in the
-    shared folder.
+    When a turn changes nothing, no document has two links but a star's middle, so the stars are the components. The links of a
+    hub, a document that is the less of more than `hub` links (or a hundred thousandth of all, so that hubs are few), are salted among
+    tasks, to each of which go the hub's links to lesser documents. A turn is one shuffle of some two rows for each
+    link; turns grow with the logarithm of the longest chain. Every turn's links are a table in the shared folder.
     """
     links, before = written(links.mapInArrow(_contract, "a long, b long"), "links"), None
     while True:
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        n, h = links.distinct().agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if (n, h) == before:
             break
-        before = now
-        ends = links.withColumn("end", F.explode(F.array("a", "b"))).repartition("end").select("a", "b")
-        links = written(ends.mapInArrow(_contract, "a long, b long"), "links")
+        before = n, h
+        most = max(hub, n // 100_000)
+        hubs = links.groupBy("a").count().where(F.col("count") > most).select(F.col("a").alias("end"), F.ceil(F.col("count") / most).cast("int").alias("salts"))
+        ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("end"), F.lit(True).alias("less")), F.struct(F.col("b").alias("end"), F.lit(False).alias("less")))).alias("e"), "a", "b")
+        ends = ends.select("e.end", "e.less", "a", "b").join(F.broadcast(hubs), "end", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        to = F.when(F.col("less"), F.array(F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+        dealt = ends.select("end", F.explode(to).alias("salt"), "a", "b").repartition("end", "salt").select("a", "b")
+        links = written(dealt.mapInArrow(_contract, "a long, b long"), "links")
     links = links.distinct()
     return links.select(F.col("b").alias("doc"), F.col("a").alias("cluster")).unionByName(links.select(F.col("a").alias("doc"), F.col("a").alias("cluster")).distinct())
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, chunk: int = BLOCK, marked_most: int = MARKS // 8) -> DataFrame:
     """doc_id, n_shingles, component_id: the classes of documents that links of Jaccard 0.8 or more on word 5-grams connect.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case. A set is the distinct 5-grams, by a 64-bit hash; with fewer words the whole
@@ -477,18 +557,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
        of its own are another's too that a partner is possible (exact; see extra()). A hash is counted in the block first, so that one that a third
        of all documents share is a row for each block.
     2. Of survivors with equal sets (by a 128-bit digest) the least doc_id stands for all. Its set is made again from its text, found
-       by a bitmap of fixed size, so no text is shuffled; other sets that the bitmap lets through do no harm.
+       by a bitmap, so no text is shuffled; other sets that the bitmap lets through do no harm. Where so many stand for others that the
+       bitmap would fill, texts are found by a join on doc_id.
     3. How many survivors have each element, asked and answered by block. Those with too few shared elements go; of the others the
        rarest elements, one of which linked sets must share, connect candidates: each hash's least document with the others.
-    4. Connected candidates are clusters, which hold every link. A task takes a cluster at a time: components().
+    4. Connected candidates are clusters, which hold every link. A task takes a cluster at a time, or a chunk of a large one: see
+       components() and _clustered().
 
-    Parts of the hash space are as many as the session's shuffle partitions, so these must grow with the data, as for any shuffle.
+    Parts of the hash space are as many as the input's partitions, or the session's shuffle partitions if these are more. Blocks of step 1 and 3 send
+    a row to each part, so the number of these rows (not their bytes) grows faster than the data.
 
     Null text counts as empty. Rows that share a doc_id are one node with the larger n_shingles, linked by any of its rows; null
     doc_ids are one such node, after all others. One row for each doc_id; an empty table gives none. Other columns are not read.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     region = own.withColumn("part", F.spark_partition_id()).mapInArrow(lambda b: _region(b, parts), REGION)
     counts = region.groupBy("part").applyInArrow(lambda t: _region_counts(t, parts), COUNTS)
@@ -496,8 +579,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     some = stat.where("size > 0 and k >= 1 + ((4 * low + 4) div 5) div 10")
     reps = written(some.groupBy("digest").agg(F.min("doc").alias("rep")), "jaccard-reps")
     member = some.select("doc", "digest").join(reps, "digest").select("doc", "rep")
-    marks = spark.sparkContext.broadcast(_marks(reps, "rep"))
     asked_for = own.select("doc_id", "text", _bit("doc_id").alias("bit"))
+    if reps.count() <= marked_most:
+        bits = _marks(reps, "rep")
+    else:
+        asked_for, bits = asked_for.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), np.full(MARKS // 8, 255, np.uint8)
+    marks = spark.sparkContext.broadcast(bits)
     lead = written(asked_for.mapInArrow(lambda b: _own_sets(b, marks.value), "doc long, n long, elements binary").where("n > 0"), "jaccard-leads")
     total = lead.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK), min(parts, total // 200_000))
@@ -507,10 +594,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     stars = lead.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda s, r: _prefixes(s, r, parts), STARS)
     links = stars.groupBy("part").applyInArrow(_joined_stars, "a long, b long")
     cluster = written(connected(links), "jaccard-clusters")
-    dealt = lead.join(cluster, "doc").select("cluster", "doc", "elements").repartition("cluster").sortWithinPartitions("cluster", "doc")
-    comp = dealt.mapInArrow(_search, "rep long, component long").groupBy("rep").agg(F.min("component").alias("component"))
-    comp = written(comp, "jaccard-components")
-    return _labelled(stat, member, comp)
+    sets = written(lead.join(cluster, "doc").select("cluster", "doc", "n", "elements"), "jaccard-sets")
+    return _labelled(stat, member, _clustered(sets, chunk))
 
 
 def _labelled(stat: DataFrame, member: DataFrame, comp: DataFrame) -> DataFrame:

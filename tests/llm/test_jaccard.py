@@ -28,7 +28,7 @@ def brute(rows):
 def test_divide_skip():
     r = random.Random(3)
     for _ in range(150):
-        index, sets = DivideSkip(heap_most=r.choice([0, 2000])), []
+        index, sets = DivideSkip(), []
         for n in range(r.randint(1, 40)):
             s = sorted({int(40 * r.random() ** 2) for _ in range(r.randint(1, 25))})
             index.add(n, s)
@@ -59,7 +59,8 @@ def test_components_against_all_pairs():
                         comp[i] = comp[j] = min(comp[i], comp[j])
             if comp == old:
                 break
-        assert components(docs, sets) == [comp[i] for i in docs]
+        found, leaders = components(docs, sets)
+        assert found == [comp[i] for i in docs] and len({found[i] for i in leaders}) == len(set(found))
 
 
 def test_connected(spark):
@@ -72,8 +73,9 @@ def test_connected(spark):
             comp[a] = comp[b] = min(comp[a], comp[b])
         if comp == old:
             break
-    got = connected(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()
-    assert len(got) == len(comp) and {x.doc: x.cluster for x in got} == comp
+    for hub in (256, 5):
+        got = connected(spark.createDataFrame(pairs, "a long, b long").repartition(7), hub).collect()
+        assert len(got) == len(comp) and {x.doc: x.cluster for x in got} == comp
 
 
 def corpus():
@@ -99,9 +101,17 @@ def test_against_brute_force(spark):
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string").repartition(5)
     assert {tuple(x) for x in jaccard_components(df).collect()} == brute(rows)
+    assert {tuple(x) for x in jaccard_components(df, chunk=400, marked_most=0).collect()} == brute(rows)  # clusters in chunks, texts by join
     assert jaccard_components(df.limit(0)).count() == 0
 
 
+def test_links_through_the_texts_of_one_id(spark):
+    """Document 5 stands for two texts, each near another document's."""
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (3, " ".join([*a, "more"])), (4, " ".join([*b, "more"])), (7, " ".join(b)), (8, " ".join(a))]
+    assert {tuple(x) for x in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows)
+
+
 def test_repeated_and_null_ids_and_long_texts(spark):
     a, b, c = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50)), " ".join(f"c{i % 977}x{i % 331}" for i in range(60_000))
     rows = [(1, a), (1, a), (2, b), (3, a), (3, b), (4, c), (5, c + " end"), (6, None), (9, "z"), (7, " ".join(f"y{i % 89}q{i % 97}" for i in range(3000))), (7, a), (7, None), (8, None), (10, "")]
