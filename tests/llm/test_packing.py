@@ -99,3 +99,55 @@ def test_scores_by_postings_and_by_rows():
     for q in docs[:20]:
         want = [sum(np.log1p((90 - df[t] + 0.5) / (df[t] + 0.5)) * (n := int((d == t).sum())) * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(d) / avg)) for t in {int(t) for t in q}) for d in docs]
         assert np.allclose(s.scores(q), want, rtol=1e-4)
+
+
+def plain_packer(docs, window):
+    """Sequences as pack_shard() says, from whole rankings."""
+    pieces = [(i, at, min(window, len(d) - at)) for i, d in enumerate(docs) for at in range(0, len(d), window)]
+    out, rest = [[p] for p in pieces if p[2] == window], [p for p in pieces if p[2] < window]
+    if not rest:
+        return out
+    index, unused = Shard([docs[i][at:] for i, at, _ in rest]), list(range(len(rest)))
+    seed, begun = unused.pop(0), 0
+    while True:
+        i, at, n = rest[seed]
+        now, room, cut = [(i, at + begun, n - begun)], window - (n - begun), None
+        score = index.scores(docs[i][at:])
+        for j in sorted(unused, key=lambda j: (-score[j], j)):
+            if not room:
+                break
+            take = min(room, rest[j][2])
+            now.append((rest[j][0], rest[j][1], take))
+            unused.remove(j)
+            room -= take
+            cut = (j, take) if take < rest[j][2] else None
+        if room:
+            break
+        out.append(now)
+        if cut:
+            seed, begun = cut
+        elif unused:
+            seed, begun = unused.pop(0), 0
+        else:
+            return out
+    ids = [(i, at + k) for i, at, n in now for k in range(n)]
+    while ids:
+        take = 1 << (len(ids).bit_length() - 1)
+        own, ids = ids[:take], ids[take:]
+        seq = []
+        for i, at in own:
+            if seq and seq[-1][0] == i and seq[-1][1] + seq[-1][2] == at:
+                seq[-1] = (i, seq[-1][1], seq[-1][2] + 1)
+            else:
+                seq.append((i, at, 1))
+        out.append(seq)
+    return out
+
+
+def test_greedy_choice_against_a_plain_packer():
+    r = random.Random(12)
+    for _ in range(60):
+        topics = [[r.randint(0, 60) for _ in range(25)] for _ in range(5)]
+        docs = [np.array([r.choice(t) for _ in range(r.choice([1, 3, 20, 40, 150]))], "<u4") for t in (r.choice(topics) for _ in range(r.randint(1, 90)))]
+        want, got = plain_packer(docs, 64), list(pack_shard(docs, 64))
+        assert sorted(want) == sorted([tuple(map(int, x)) for x in seq] for seq in got)

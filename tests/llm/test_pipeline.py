@@ -92,3 +92,14 @@ def test_rows_of_null_or_shared_ids_are_decided_one_by_one(spark):
     assert got(pipeline.exact) == sorted([*clean, (None, t + " end"), (7, u)], key=str)
     assert got(pipeline.near) == sorted(clean, key=str)
     assert pipeline.near(spark, docs, "").columns == docs.columns
+
+
+def test_intermediate_tables_go(spark, tmp_path):
+    from claimloom.llm.common import made
+
+    docs = spark.createDataFrame(corpus(spark), "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = made()
+    out = pipeline.run(spark, str(tmp_path))
+    left = [x for x in made() if x not in before]
+    assert out.count() > 0 and len(left) == 1 and "stage-pii" in left[0]
