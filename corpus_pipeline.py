@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm import dedup, jaccard, langid, packing, pii
-from claimloom.llm.common import written
+from claimloom.llm.common import made, removed, written
 
 #: No SQL: language ID and packing have none. tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
@@ -68,10 +68,12 @@ STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, one after another."""
+    """The stages over documents, one after another. What a stage read and made on its way is deleted once its result is a table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begun = made()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage-{name}")
+            removed(spark, made()[len(begun) : -1])
     return docs
