@@ -18,17 +18,18 @@ from claimloom.llm.common import table, tokenizer_path, worker_cache
 #: their right neighbours to the merge table, takes each word's leftmost pair of least rank, and writes the merged token over its
 #: left place; words without a pair leave the recursion with `done`.
 CONTRACT = """
-WITH RECURSIVE bpe(w, pos, tok, done) AS (
-    SELECT w, pos, tok, false FROM first
+WITH RECURSIVE bpe(g, w, pos, tok, done) AS (
+    SELECT g, w, pos, tok, false FROM first
   UNION ALL (
     WITH pairs AS (
-      SELECT w, pos, tok, lead(tok) OVER o AS ntok, lag(pos) OVER o AS ppos FROM bpe WHERE NOT done WINDOW o AS (PARTITION BY w ORDER BY pos)),
+      SELECT g, w, pos, tok, CASE WHEN lead(w) OVER o = w THEN lead(tok) OVER o END AS ntok, lag(g) OVER o AS pg FROM bpe WHERE NOT done WINDOW o AS (ORDER BY g)),
     best AS (
-      SELECT p.w, min(m.rank * 2147483648::BIGINT + p.pos) AS key FROM pairs p JOIN merges m ON m.a = p.tok AND m.b = p.ntok GROUP BY p.w)
-    SELECT p.w, p.pos, CASE WHEN p.pos = b.key % 2147483648 THEN (b.key // 2147483648)::INTEGER ELSE p.tok END, b.key IS NULL
-    FROM pairs p LEFT JOIN best b ON b.w = p.w WHERE b.key IS NULL OR p.ppos IS DISTINCT FROM b.key % 2147483648)
+      SELECT p.w, min(m.rank * 2147483648::BIGINT + p.pos) AS key, arg_min(p.g, m.rank * 2147483648::BIGINT + p.pos) AS at
+      FROM pairs p JOIN merges m ON m.a = p.tok AND m.b = p.ntok GROUP BY p.w)
+    SELECT p.g, p.w, p.pos, CASE WHEN p.g = b.at THEN (b.key // 2147483648)::INTEGER ELSE p.tok END, b.key IS NULL
+    FROM pairs p LEFT JOIN best b ON b.w = p.w WHERE b.key IS NULL OR p.pg IS DISTINCT FROM b.at)
 )
-SELECT w, list(tok ORDER BY pos) AS ids FROM bpe WHERE done GROUP BY w ORDER BY w
+SELECT w, list(tok ORDER BY g) AS ids FROM bpe WHERE done GROUP BY w ORDER BY w
 """
 #: The same for long rows of letters, where a turn contracts every pair of least rank, in the order from the left: of pairs that
 #: overlap in a run the first, third and so on. No pair that a merge makes has a lower rank than the merge, so the order is the same.
@@ -73,9 +74,11 @@ class Codec:
         a, b, r = (pa.array([self.ranks[x] for x in c], pa.int32()) for c in zip(*pairs, strict=True))
         self._put("merges", pa.table({"a": a, "b": b, "rank": r}))
         self._put("vocab", pa.table({"id": pa.array(list(self.token), pa.int32()), "bytes": pa.array(list(self.token.values()), pa.binary())}))
+        self.raw = {t: np.int32(r).tobytes() for t, r in self.ranks.items()}
+        self.decimal = np.array([b"%d," % i if i in self.token else b"" for i in range(max(self.token) + 1)])
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.young: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.meet: dict[tuple[int, int], bool] = {}
         self.kept, self.short, self.piece = kept, short, piece
 
@@ -94,17 +97,22 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM arrow_rows")
         self.db.unregister("arrow_rows")
 
-    def _contract(self, words: list[bytes], sql: str) -> list[list[int]]:
+    def _contract(self, words: list[bytes], sql: str) -> list[bytes]:
         size = np.array([len(w) for w in words])
         w, total = np.repeat(np.arange(len(words), dtype=np.int32), size), int(size.sum())
-        pos = np.arange(total, dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
+        g = np.arange(total, dtype=np.int64)
+        pos = g - np.repeat(np.cumsum(size) - size, size)
         tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        self._put("first", pa.table({"w": w, "pos": pos, "tok": tok}))
-        return [ids for _, ids in self.db.execute(sql).fetchall()]
+        self._put("first", pa.table({"g": g, "w": w, "pos": pos, "tok": tok}))
+        found, out = self.db.sql(sql).to_arrow_table()["ids"], []
+        for ids in found.chunks:
+            raw, begin = memoryview(ids.values.buffers()[1]).cast("B"), ((ids.offsets.to_numpy() + ids.values.offset) * 4).tolist()
+            out += [bytes(raw[lo:hi]) for lo, hi in zip(begin, begin[1:], strict=False)]
+        return out
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, as the merge table gives them; a word that is a token is that token."""
-        out: list = [[self.ranks[w]] if w in self.ranks else [] for w in words]
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word (32 bits each), as the merge table gives them; a word that is a token is that token."""
+        out: list = [self.raw.get(w, b"") for w in words]
         todo = [i for i, x in enumerate(out) if not x and words[i]]
         long = [i for i in todo if self.plain and len(words[i]) > self.piece]
         if len(long) < len(todo):
@@ -123,16 +131,17 @@ class Codec:
             new = list(pairs)
         if new:
             found = self._contract([self.token[a] + self.token[b] for a, b in new], CONTRACT)
-            self.meet.update((p, ids == list(p)) for p, ids in zip(new, found, strict=True))
+            self.meet.update((p, ids == np.array(p, np.int32).tobytes()) for p, ids in zip(new, found, strict=True))
 
-    def _long(self, word: bytes) -> list[int]:
+    def _long(self, word: bytes) -> bytes:
         """Ids of a long word, by pieces.
 
         The merges of a word cross a place between two tokens only if those of these two alone do: what lies further off has no part in
         it until it crosses a place itself. So tokens are the word's ids if each two neighbours stay as they are, side by side. Pieces are
         contracted together; where two don't meet, some tokens on both sides are contracted as one piece, twice as many in each turn.
         """
-        parts = self._contract([word[i : i + self.piece] for i in range(0, len(word), self.piece)], CONTRACT_RUNS)
+        ints = lambda raw: np.frombuffer(raw, np.int32).tolist()
+        parts = list(map(ints, self._contract([word[i : i + self.piece] for i in range(0, len(word), self.piece)], CONTRACT_RUNS)))
         reach = 8
         while len(parts) > 1:
             seams = [(a[-1], b[0]) for a, b in zip(parts, parts[1:], strict=False)]
@@ -156,9 +165,9 @@ class Codec:
                     now.append(part[reach:])
             texts = [b"".join([self.token[t] for t in now[i]]) for i in again]
             for i, ids in zip(again, self._contract(texts, CONTRACT_RUNS), strict=True):
-                now[i] = ids
+                now[i] = ints(ids)
             parts, reach = now, reach * 2
-        return list(chain.from_iterable(parts))
+        return np.fromiter(chain.from_iterable(parts), np.int32).tobytes()
 
     def decode(self, rows: list[np.ndarray]) -> list[bytes]:
         """The bytes that each row of ids stands for: the ids join the vocabulary, and their bytes are put together in order."""
@@ -186,26 +195,24 @@ class Codec:
                 words.append(w)
         for lo in range(0, len(words), 40_000):
             part = words[lo : lo + 40_000]
-            for w, ids in zip(part, self.encode_words([w.encode() for w in part]), strict=True):
-                self.young[w] = (",".join(map(str, ids)) + ",").encode(), np.array(ids, np.int32).tobytes()
+            self.young.update(zip(part, self.encode_words([w.encode() for w in part]), strict=True))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
         """Each text's ids, as decimals with commas and as an array: its words' ids one after another."""
         if len(self.young) > self.kept:
             self.old, self.young = self.young, {}
-        young = self.young
+        get = self.young.get
         split = [self.find(x) for x in texts]
-        found = [list(map(young.get, words)) for words in split]
+        found = [list(map(get, words)) for words in split]
         missing = {w for words, got in zip(split, found, strict=True) if None in got for w, v in zip(words, got, strict=True) if v is None}
         self._learn(missing)
         out = []
         for words, got in zip(split, found, strict=True):
-            if None in got:
-                got = [young[w] if v is None else v for w, v in zip(words, got, strict=True)]
-            out.append((b"".join([x[0] for x in got])[:-1], np.frombuffer(b"".join([x[1] for x in got]), np.int32)))
+            ids = np.frombuffer(b"".join(list(map(get, words)) if None in got else got), np.int32)
+            out.append((self.decimal[ids].tobytes().replace(b"\0", b"")[:-1], ids))
         for w in missing:
             if len(w) > self.short:
-                del young[w]
+                del self.young[w]
         return out
 
     def documents(self, texts: list[str], block: int = 1 << 18) -> Iterator[tuple[bytes, np.ndarray, list[bytes]]]:
