@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Phrases of boilerplate, and words by which a text without digits may still state a fact.
 BOILERPLATE = (
@@ -14,13 +16,14 @@ CUES = (
     r"\b(appointed|resigned|retired|re-?designated|ceased|inducted|elected|registered office|corporate office|principal place|situated at|located at|"
     r"auditor|auditors|chairman|chairperson|managing director|director|company secretary|incorporated|renamed|merged|acquired|subsidiary|listed on|headquartered)\b"
 )
-NUMERIC = r"^[(\[-]?[₹$€£]?[0-9][0-9,]*(\.[0-9]+)?%?[)\]]?$"
+# Fixed value: a number as a table cell has it.
+NUMERIC = r"^[(\[]?[-−+]?[0-9][0-9,]*(\.[0-9]+)?[)\]]?%?$"
 SHORTEST, PACK, PACK_MOST, CHUNK = 25, 5000, 7000, 1500
 
 
 def numeric_token(token: Column) -> Column:
-    """A number as a table cell has it, with a sign, currency, per cent or brackets around."""
-    t = F.regexp_replace(token, "[.,;]+$", "")
+    """A number as a table cell has it: brackets, a sign, digits, per cent; stops after it don't count, and what has a slash is none."""
+    t = F.regexp_replace(F.trim(token), "[.,;]+$", "")
     return ~F.contains(t, F.lit("/")) & t.rlike(NUMERIC)
 
 
@@ -42,47 +45,89 @@ def block_sha(kind: Column, section: Column, text: Column, notes: Column) -> Col
 
 
 def prompt_text(section: Column, text: Column, notes: Column, most: int = 6) -> Column:
-    """What a model is shown: section, text, and the first notes."""
+    """What a model is shown: section, text, and the first notes, each on a line of its own."""
     own = F.slice(F.coalesce(notes, F.array().cast("array<string>")), 1, most)
-    head = F.when(F.coalesce(section, F.lit("")) != "", F.concat(F.lit("[Section: "), section, F.lit("]\n"))).otherwise("")
-    return F.concat(head, F.coalesce(text, F.lit("")), F.when(F.size(own) > 0, F.concat(F.lit("\n\nFootnotes:\n"), F.array_join(own, "\n"))).otherwise(""))
+    head = F.when(F.coalesce(section, F.lit("")) != "", F.concat(F.lit("[Section: "), section, F.lit("]")))
+    return F.array_join(F.concat(F.array(head, F.coalesce(text, F.lit(""))), F.transform(own, lambda n: F.concat(F.lit("[Footnote on same page: "), n, F.lit("]")))), "\n")
+
+
+SLICES = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("head", T.IntegerType())]))
+
+
+def _slices(sizes, target: int, most: int) -> list[tuple[int, int, int]]:
+    """Places and numbers of adjacent items that go together."""
+    out, at, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and total + n > target:
+            out.append((at, i - at, -1))
+            at, total = i, 0
+        total += n
+        if total >= most:
+            out.append((at, i + 1 - at, -1))
+            at, total = i + 1, 0
+    return [*out, (at, len(sizes) - at, -1)] if at < len(sizes) else out
+
+
+def _table_slices(sizes, banners, most: int) -> list[tuple[int, int, int]]:
+    """The same for a table's rows: no more than `most`, and the banner in force (-1: none, or within), without slices of banners alone."""
+    out, at, total, last = [], 0, 0, -1
+
+    def close(end: int) -> None:
+        if not all(banners[at:end]):
+            out.append((at, end - at, last if last < at else -1))
+
+    for i, n in enumerate(sizes):
+        if i > at and total + n > most:
+            close(i)
+            at, total = i, 0
+        if banners[i]:
+            last = i
+        total += n
+    close(len(sizes))
+    return out
+
+
+def _sliced(sizes: Column, target: int, most: int) -> Column:
+    @F.pandas_udf(SLICES)
+    def run(own: pd.Series) -> pd.Series:
+        return own.map(lambda x: None if x is None else [dict(zip(("at", "n", "head"), s, strict=True)) for s in _slices(list(map(int, x)), target, most)])
+
+    return run(sizes)
 
 
 def packs(items: Column, target: int = PACK, most: int = PACK_MOST) -> Column:
     """Adjacent texts of an ordered array joined by blank lines: a new pack begins where the next would pass target, and after
-    one that has reached `most`."""
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("size"))
-
-    def step(a: Column, t: Column) -> Column:
-        n = F.length(t)
-        full = (F.size(a["now"]) > 0) & (a["size"] + n > target)
-        done = F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
-        now = F.when(full, F.array(t)).otherwise(F.concat(a["now"], F.array(t)))
-        size = F.when(full, n).otherwise(a["size"] + n)
-        over = size >= most
-        return F.struct(
-            F.when(over, F.concat(done, F.array(now))).otherwise(done).alias("done"),
-            F.when(over, F.array().cast("array<string>")).otherwise(now).alias("now"),
-            F.when(over, 0).otherwise(size).alias("size"),
-        )
-
-    end = lambda a: F.transform(F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]), lambda p: F.array_join(p, "\n\n"))
-    return F.aggregate(items, start, step, end)
+    one that has reached `most`. Only the texts' lengths go through the Arrow kernel; its time grows with their number. Null: null."""
+    return F.transform(_sliced(F.transform(items, F.length), target, most), lambda s: F.array_join(F.slice(items, s["at"] + 1, s["n"]), "\n\n"))
+
+
+def chunked_rows(rows: Column, most: int = CHUNK) -> Column:
+    """A table's rows as arrays of at most `most` rendered characters (one row at least), each with the banner that is in force where it
+    begins unless it holds one itself; a chunk of banners alone is left out."""
+
+    @F.pandas_udf(SLICES)
+    def run(sizes: pd.Series, banners: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [dict(zip(("at", "n", "head"), s, strict=True)) for s in _table_slices(list(map(int, x)), list(map(bool, b)), most)] for x, b in zip(sizes, banners, strict=True)])
+
+    size = lambda r: F.length(F.coalesce(r["label"], F.lit(""))) + F.aggregate(r["cells"], F.lit(0), lambda a, c: a + F.length(c["header"]) + F.length(c["value"]) + 2)
+    head = lambda s: F.when(s["head"] >= 0, F.slice(rows, s["head"] + 1, F.lit(1))).otherwise(F.slice(rows, F.lit(1), F.lit(0)))
+    return F.transform(run(F.transform(rows, size), F.transform(rows, lambda r: r["section"])), lambda s: F.concat(head(s), F.slice(rows, s["at"] + 1, s["n"])))
 
 
 def rendered(rows: Column, caption: Column) -> Column:
-    """Table rows (section, label, cells of header and value) as lines: a banner in brackets, else label and cells."""
-    cells = lambda r: F.array_join(F.transform(r["cells"], lambda c: F.concat(c["header"], F.lit("="), c["value"])), "; ")
-    line = lambda r: F.when(r["section"], F.concat(F.lit("["), r["label"], F.lit("]"))).otherwise(
-        F.concat(F.when(F.coalesce(r["label"], F.lit("")) != "", r["label"]).otherwise("(unlabelled row)"), F.lit(": "), cells(r))
-    )
-    return F.concat(F.when(F.coalesce(caption, F.lit("")) != "", F.concat(caption, F.lit("\n"))).otherwise(""), F.array_join(F.transform(rows, line), "\n"))
+    """Table rows (section, label, cells of header and value) as lines: a banner in brackets, else label and cells with a value; a row
+    without such cells has no line."""
+    cells = lambda r: F.array_join(F.transform(F.filter(r["cells"], lambda c: c["value"] != ""), lambda c: F.concat(c["header"], F.lit("="), c["value"])), "; ")
+    named = lambda r: F.when(F.coalesce(r["label"], F.lit("")) != "", r["label"]).otherwise("(unlabelled row)")
+    line = lambda r: F.when(r["section"], F.concat(F.lit("["), r["label"], F.lit("]"))).when(cells(r) != "", F.concat(named(r), F.lit(": "), cells(r)))
+    head = F.when(F.coalesce(caption, F.lit("")) != "", caption)
+    return F.array_join(F.concat(F.array(head), F.transform(rows, line)), "\n")
 
 
-def running_lines(lines: DataFrame) -> DataFrame:
+def running_lines(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Lines (doc_id, page_no, text, margin) that a document repeats in its margins, digits aside: on 3 pages and 35 % of them at
-    least, of documents of 4 pages or more."""
-    pages = lines.groupBy("doc_id").agg(F.countDistinct("page_no").alias("pages")).where("pages >= 4")
+    least, of documents of 4 pages or more. Pages count that have a line, or, where pages are given, all."""
+    pages = (lines if pages is None else pages).groupBy("doc_id").agg(F.countDistinct("page_no").alias("pages")).where("pages >= 4")
     shape = F.regexp_replace(F.trim("text"), "[0-9]+", "#")
     own = lines.where("margin").select("doc_id", "page_no", shape.alias("shape")).where(F.length("shape").between(3, 90)).distinct()
     n = own.groupBy("doc_id", "shape").count()

@@ -1,23 +1,49 @@
-"""Words with their places on a page to lines, columns and boxes. Each page is its own group, so pages spread over tasks."""
+"""Words with their places on a page to lines, tables, columns, tiles, paragraphs, sections and boxes.
+
+All but three are windows and expressions over lines; line banding, tables and section paths are folds, in Arrow kernels over one
+page, table or document. Every operator groups by page or smaller, but for running lines and sections, which go by document. Null boxes and
+texts are the reader's to leave out; a page without words has no lines, and an empty table gives an empty one. Rows that repeat are
+words of their own. Other columns are not read.
+"""
 
 from __future__ import annotations
 
+import re
 from statistics import median
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LINES = "doc_id long, page_no int, line_no int, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, text string"
+from claimloom.operators.blocks import NUMERIC, numeric_token
+
+WORDS = pa.list_(pa.struct([("x0", pa.float64()), ("y0", pa.float64()), ("x1", pa.float64()), ("y1", pa.float64()), ("text", pa.string())]))
+LINES = (
+    "doc_id long, page_no int, line_no int, x0 double, y0 double, x1 double, y1 double, mid double, size double, bold boolean, text string, "
+    "words array<struct<x0: double, y0: double, x1: double, y1: double, text: string>>"
+)
+PAGE = ["doc_id", "page_no"]
+# What makes a line look like a table's head, opens a paragraph, marks a footnote, opens a figure, or ends no heading;
+# footnote marks that stand where a number might.
+HEADERISH = r"(?i)[0-9]{4}|\bQ[1-4]\b|\bFY\b|\bH[12]\b|^[0-9]{2}/[0-9]{2}$"
+MARKER = r"^(?:[IVXLC]+\.[0-9]+|[0-9]+\.[0-9]+(?:\.[0-9]+)?|\(\w{1,3}\)|[•▪●○–—*]|[0-9]+\.\s)"
+NOTE = r"^\s*(?:\([0-9]{1,2}\)|[0-9]{1,2}[.)]|[*†‡])\s+\S"
+FIGURE, NUMBERED = r"^[₹$€£]|^Rs\.?\s*[0-9]|^\(?[0-9]", r"^[0-9]{1,2}[.)]\s+[A-Z]"
+OPEN_ENDS = [",", ";", ":", "-", "and", "the", "of", "in"]
+REFERENCE = r"^\([0-9]\)$"
+LABEL = r"^(?:[ivxlcIVXLC]{1,7}|[0-9]{1,4})$"
 
 
+# ---- lines
 def banded(words: list[dict], share: float = 0.6) -> list[list[dict]]:
     """Words to lines: down the page and then across, each word joins the newest of the last three lines whose middle (a running
     median) is within a share of the median height."""
     if not words:
         return []
     mid = lambda w: (w["y0"] + w["y1"]) / 2
-    tol = share * median(w["y1"] - w["y0"] for w in words)
+    tall = [w["y1"] - w["y0"] for w in words if w["y1"] > w["y0"]]
+    tol = share * (median(tall) if tall else 8.0)
     lines: list[list[dict]] = []
     for w in sorted(words, key=lambda w: (mid(w), w["x0"])):
         home = next((x for x in reversed(lines[-3:]) if abs(median(map(mid, x)) - mid(w)) <= tol), None)
@@ -25,34 +51,350 @@ def banded(words: list[dict], share: float = 0.6) -> list[list[dict]]:
             lines.append([w])
         else:
             home.append(w)
-    return [sorted(x, key=lambda w: w["x0"]) for x in lines]
+    own = [sorted(x, key=lambda w: w["x0"]) for x in lines]
+    return sorted(own, key=lambda x: (median(map(mid, x)), x[0]["x0"]))
 
 
 def lines_of(words: DataFrame) -> DataFrame:
-    """Lines of each page, in order, with their box, median size and whether most of it is bold."""
+    """Lines of each page, in order, with their box, middle, median size, whether most of it is bold, and their words."""
+
+    def page(key: tuple, t: pa.Table) -> pa.Table:
+        out = []
+        for n, x in enumerate(banded(t.to_pylist())):
+            box = [f(w[c] for w in x) for f, c in ((min, "x0"), (min, "y0"), (max, "x1"), (max, "y1"))]
+            bold = 2 * sum(bool(w["bold"]) for w in x) > len(x)
+            middle, size = median((w["y0"] + w["y1"]) / 2 for w in x), median(w["size"] for w in x)
+            out.append((key[0].as_py(), key[1].as_py(), n, *box, middle, size, bold, " ".join(w["text"] for w in x), [{k: w[k] for k in ("x0", "y0", "x1", "y1", "text")} for w in x]))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 6, pa.bool_(), pa.string(), WORDS]
+        names = ["doc_id", "page_no", "line_no", "x0", "y0", "x1", "y1", "mid", "size", "bold", "text", "words"]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    own = words.select("doc_id", F.col("page_no").cast("int").alias("page_no"), "x0", "y0", "x1", "y1", "text", "size", "bold")
+    return own.groupBy(*PAGE).applyInArrow(page, LINES)
+
+
+def in_margin(mid: Column, height: Column) -> Column:
+    return (mid <= height * 0.10) | (mid >= height * 0.90)
+
+
+def page_labels(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """The number printed on each page that has one: the first line in its margins that is a Roman or Arabic number."""
+    own = lines.join(pages.select(*PAGE, "height"), PAGE).where(((F.col("mid") > F.col("height") * 0.90) | (F.col("mid") < F.col("height") * 0.10)) & F.trim("text").rlike(LABEL))
+    return own.groupBy(*PAGE).agg(F.min_by(F.trim("text"), "line_no").alias("label"))
 
-    def page(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for n, x in enumerate(banded(p.to_dict("records"))):
-            box = min(w["x0"] for w in x), min(w["y0"] for w in x), max(w["x1"] for w in x), max(w["y1"] for w in x)
-            rows.append((*key, n, *box, median(w["size"] for w in x), sum(map(bool, (w["bold"] for w in x))) * 2 > len(x), " ".join(w["text"] for w in x)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in LINES.split(", ")])
 
-    return words.groupBy("doc_id", "page_no").applyInPandas(page, LINES)
+def scanned(words: DataFrame, pages: DataFrame, least: float = 0.5) -> DataFrame:
+    """Pages of less than `least` characters for each 1,000 square points, words without text on them too: pictures of pages."""
+    chars = words.groupBy(*PAGE).agg(F.sum(F.length("text")).alias("chars"))
+    own = pages.join(chars, PAGE, "left").withColumn("density", F.coalesce("chars", F.lit(0)) / (F.col("width") * F.col("height") / 1000))
+    return own.where(F.col("density") < least).select(*PAGE, "density")
+
+
+# ---- tables
+def numbers(words: Column) -> Column:
+    return F.size(F.filter(words, lambda w: numeric_token(w["text"])))
+
+
+def table_regions(lines: DataFrame) -> DataFrame:
+    """first and last line_no of what looks like a table on each page: three lines or more from the first of two numbers or more to the
+    last, with single other lines between at most; and up to five lines above that are short or look like a head."""
+    w = Window.partitionBy(*PAGE).orderBy("line_no")
+    own = lines.select(*PAGE, "line_no", numbers(F.col("words")).alias("n"), (F.size("words") <= 12).alias("short"), F.col("text").rlike(HEADERISH).alias("head"))
+    joins = (F.col("n") >= 2) | F.col("short") | F.col("head")
+    climb = F.when(F.lit(False), 0)
+    for k in range(1, 6):
+        climb = climb.when(~F.coalesce(F.lag(joins, k).over(w), F.lit(False)), k - 1)
+    own = own.withColumn("climb", climb.otherwise(5)).where("n >= 2")
+    own = own.withColumn("island", F.sum(F.when(F.col("line_no") - F.lag("line_no").over(w) > 2, 1).otherwise(0)).over(w))
+    own = own.groupBy(*PAGE, "island").agg(F.min("line_no").alias("body"), F.max("line_no").alias("last"), F.min_by("climb", "line_no").alias("climb"))
+    return own.where("last - body >= 2").select(*PAGE, (F.col("body") - F.col("climb")).alias("first"), "last")
 
 
 def columns_of(tokens: DataFrame, share: float = 0.02) -> DataFrame:
-    """Columns of numbers on each page: middles (x) apart by more than a share of the width part columns, which need two tokens."""
+    """Columns of numbers on each page: middles (x) apart by more than a share of the width part columns, which need two tokens.
+    Digits in brackets are marks of footnotes (column text), and no column."""
     w = Window.partitionBy("doc_id", "page_no").orderBy("x")
-    own = tokens.withColumn("gap", F.col("x") - F.lag("x").over(w))
+    own = tokens.where(~F.trim("text").rlike(REFERENCE)) if "text" in tokens.columns else tokens
+    own = own.withColumn("gap", F.col("x") - F.lag("x").over(w))
     own = own.withColumn("col", F.sum(F.when(F.col("gap") > F.col("width") * share, 1).otherwise(0)).over(w))
     own = own.groupBy("doc_id", "page_no", "col").agg(F.count(F.lit(1)).alias("n"), F.median("x").alias("centre"))
     return own.where("n >= 2").select("doc_id", "page_no", "n", "centre")
 
 
+def is_number(text: str) -> bool:
+    own = text.strip().rstrip(".,;")
+    return "/" not in own and re.match(NUMERIC, own) is not None
+
+
+class Grid:
+    """A table's columns of numbers, and where a line's words belong."""
+
+    def __init__(self, lines: list[list[dict]], width: float):
+        tol = width * 0.02
+        x = np.sort([(w["x0"] + w["x1"]) / 2 for line in lines for w in line if is_number(w["text"]) and not re.match(REFERENCE, w["text"].strip())])
+        parts = np.split(x, np.flatnonzero(np.diff(x) > tol) + 1) if len(x) >= 3 else []
+        self.centres = np.array([np.median(p) for p in parts if len(p) >= 2])
+        self.reach = 1.8 * tol
+        self.edge = self.centres.min() - 2 * tol if len(self.centres) else 0.0
+
+    def placed(self, line: list[dict]) -> tuple[list[str], list[tuple[int, str]]]:
+        """Words before the first column, and (column, word) of those near one."""
+        label, cells = [], []
+        for w in line:
+            if w["x0"] < self.edge:
+                label.append(w["text"])
+                continue
+            d = np.abs(self.centres - (w["x0"] + w["x1"]) / 2)
+            if d.min() < self.reach:
+                cells.append((int(d.argmin()), w["text"]))
+        return label, cells
+
+
+def _heads(placed: list[list[tuple[int, str]]], counts: list[int], texts: list[str], columns: int) -> tuple[int, list[str]]:
+    """The line that names the columns (-1: none), the nearest of five above the body with names for half of them, and the names: what it
+    leaves open the next two lines may name, else the column's number does."""
+    body = next((i for i, (n, t) in enumerate(zip(counts, texts, strict=True)) if n >= 2 and not re.search(HEADERISH, t)), len(texts))
+    enough = max(2, (columns + 1) // 2)
+    head = next((i for i in range(body - 1, max(-1, body - 6), -1) if len({c for c, _ in placed[i]}) >= enough), -1)
+    names = [""] * columns
+    if head >= 0:
+        sources = [head]
+        for i in range(head + 1, min(head + 3, len(texts))):
+            if counts[i] >= 2:
+                break
+            sources.append(i)
+        for i in sources:
+            for c in {c for c, _ in placed[i]}:
+                names[c] = names[c] or " ".join(t for k, t in placed[i] if k == c)
+    return head, [n or f"col{c + 1}" for c, n in enumerate(names)]
+
+
+def table_of(lines: list[list[dict]], width: float) -> tuple[str, list[dict]] | None:
+    """Caption and rows (section, label, cells of header and value) of a table's lines; None where there are no columns or a cell would
+    hold two numbers, which means that the columns were misread.
+
+    A line without numbers is a section's banner (two words or more). Parts of a number that ends in a point or comma are put
+    together again. A row without a label has the one above."""
+    grid = Grid(lines, width)
+    if not len(grid.centres):
+        return None
+    texts = [" ".join(w["text"] for w in x) for x in lines]
+    counts = [sum(is_number(w["text"]) for w in x) for x in lines]
+    placed = [grid.placed(x) for x in lines]
+    head, names = _heads([cells for _, cells in placed], counts, texts, len(grid.centres))
+    rows: list[dict] = []
+    for i in range(head + 1, len(lines)):
+        if not counts[i]:
+            if len(texts[i].split()) >= 2:
+                rows.append({"section": True, "label": texts[i].strip(), "cells": {}})
+            continue
+        label, found = placed[i]
+        cells: dict[str, str] = {}
+        for c, word in found:
+            before = cells.get(names[c], "")
+            cells[names[c]] = before + ("" if not before or before[-1] in ".," else " ") + word
+        if any(sum(map(is_number, v.split())) > 1 for v in cells.values()):
+            return None
+        if cells:
+            rows.append({"section": False, "label": " ".join(label) or (rows[-1]["label"] if rows else ""), "cells": cells})
+    caption = " ".join(texts[: max(head, 0)]).strip()[:300]
+    return caption, [{**r, "cells": [{"header": k, "value": v} for k, v in r["cells"].items()]} for r in rows]
+
+
+TABLE = "doc_id long, page_no int, first int, last int, caption string, rows array<struct<section: boolean, label: string, cells: array<struct<header: string, value: string>>>>"
+CELLS = pa.list_(pa.struct([("section", pa.bool_()), ("label", pa.string()), ("cells", pa.list_(pa.struct([("header", pa.string()), ("value", pa.string())])))]))
+
+
+def tables_of(lines: DataFrame, regions: DataFrame, pages: DataFrame) -> DataFrame:
+    """Tables read from their regions, see table_of(); a region that can't be read gives none."""
+
+    def read(key: tuple, t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["line_no"])
+        got = table_of([r["words"] for r in rows], rows[0]["width"])
+        out = [(rows[0]["doc_id"], rows[0]["page_no"], rows[0]["first"], rows[0]["last"], *got)] if got and got[1] else []
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), CELLS]
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "page_no", "first", "last", "caption", "rows"])
+
+    own = lines.join(regions, PAGE).where(F.col("line_no").between(F.col("first"), F.col("last"))).join(pages.select(*PAGE, "width"), PAGE)
+    return own.select(*PAGE, "first", "last", "line_no", "width", "words").groupBy(*PAGE, "first").applyInArrow(read, TABLE)
+
+
+# ---- columns and tiles
+def gutters(lines: DataFrame, pages: DataFrame, bins: int = 200) -> DataFrame:
+    """Where pages of two columns are parted: split, the middle of the free strip across the page's centre that is 2.5 % of its width
+    or more, with five lines on either side, of eight or more in all."""
+    own = lines.join(pages.select(*PAGE, "width"), PAGE)
+    lo = F.greatest(F.lit(0), F.floor(F.col("x0") / F.col("width") * bins))
+    hi = F.least(F.lit(bins - 1), F.floor(F.col("x1") / F.col("width") * bins))
+    w = Window.partitionBy(*PAGE).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    free = own.withColumns({"lo": lo, "hi": hi}).withColumn("from", F.max("hi").over(w) + 1)
+    free = free.where((F.col("lo") - F.col("from") >= bins * 0.025) & (F.col("from") <= bins // 2) & (F.col("lo") >= bins // 2))
+    split = free.groupBy(*PAGE).agg(F.max_by((F.col("from") + F.col("lo")) / 2 / bins * F.col("width"), F.col("lo") - F.col("from")).alias("split"))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    sides = lines.join(split, PAGE).groupBy(*PAGE, "split").agg(n(F.col("x1") <= F.col("split")).alias("left"), n(F.col("x0") >= F.col("split")).alias("right"), F.count(F.lit(1)).alias("n"))
+    return sides.where("n >= 8 AND left >= 5 AND right >= 5").select(*PAGE, "split")
+
+
+def tiles(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """Lines of slides as segments (tile, nth, text), in reading order: lines are parted at wide gaps between words; segments wider than
+    55 % of the page are the banner, tile 0; the others form tiles, from left to right, where their middles lie close together."""
+    own = lines.join(pages.select(*PAGE, "width"), PAGE).select(*PAGE, "line_no", "width", F.explode("words").alias("w"))
+    across = Window.partitionBy(*PAGE, "line_no").orderBy("w.x0", "w.x1")
+    own = own.withColumn("part", F.sum(F.when(F.col("w.x0") - F.lag("w.x1").over(across) > F.col("width") * 0.035, 1).otherwise(0)).over(across))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w.x0", "w.x1", "w.text"))), lambda s: s["text"]), " ")
+    seg = own.groupBy(*PAGE, "width", "line_no", "part").agg(F.min("w.x0").alias("x0"), F.max("w.x1").alias("x1"), F.median((F.col("w.y0") + F.col("w.y1")) / 2).alias("mid"), text.alias("text"))
+    seg = seg.withColumns({"banner": F.col("x1") - F.col("x0") > F.col("width") * 0.55, "centre": (F.col("x0") + F.col("x1")) / 2})
+    down = Window.partitionBy(*PAGE, "banner").orderBy("centre")
+    step = F.when(F.col("centre") - F.lag("centre").over(down) > F.col("width") * 0.05, 1).otherwise(0)
+    seg = seg.withColumn("step", step).withColumn("tile", F.when(F.col("banner"), 0).otherwise(F.sum("step").over(down) + 1).cast("int"))
+    nth = F.row_number().over(Window.partitionBy(*PAGE, "tile").orderBy("mid", "x0", "line_no"))
+    return seg.select(*PAGE, "tile", nth.alias("nth"), "text", "x0", "x1", "mid")
+
+
+# ---- paragraphs
+def paragraphs(lines: DataFrame, by: list[str]) -> DataFrame:
+    """Lines of each `by` (with col_width), in their order, as paragraphs: para, first line_no, text and box. One begins after a wide
+    gap or a short line, at a marker, or where the size changes. A word parted by a hyphen is put together with its hyphen."""
+    part, w = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("line_no")
+    own = lines.withColumns({"t": F.trim("text"), "gap": F.col("y0") - F.lag("y1").over(w)})
+    usual = F.coalesce(F.median(F.when(F.col("gap") > -2, F.col("gap"))).over(part), F.lit(2.0))
+    tall = F.median(F.col("y1") - F.col("y0")).over(part)
+    own = own.withColumns({"usual": usual, "tall": tall})
+    new = (
+        F.lag("line_no").over(w).isNull()
+        | (F.col("gap") > F.greatest(F.col("usual") + F.col("tall") * 0.6, F.col("tall") * 0.9))
+        | F.col("text").rlike(MARKER)
+        | (F.lag(F.col("x1") - F.col("x0")).over(w) < F.col("col_width") * 0.55)
+        | (F.abs(F.col("size") - F.lag("size").over(w)) > 1.2)
+    )
+    hyphen = F.lag("t").over(w).endswith("-") & F.col("t").rlike(r"^\p{Ll}")
+    own = own.withColumns({"new": new, "hyphen": hyphen}).withColumn("para", F.sum(F.col("new").cast("int")).over(w))
+    own = own.withColumn("s", F.concat(F.when(F.col("new") | F.col("hyphen"), "").otherwise(" "), F.col("t")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "s"))), lambda x: x["s"]), "")
+    out = own.groupBy(*by, "para").agg(
+        F.min("line_no").alias("line_no"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"),
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+    )
+    return out.where("text <> ''")
+
+
+def heading(text: Column, x0: Column, x1: Column, size: Column, bold: Column, body: Column, col_width: Column) -> Column:
+    """Is a line a heading? Short of the column's width, larger than the body or bold or in capitals, and neither a sentence, nor a line
+    that goes on, nor a figure."""
+    t = F.trim(text)
+    n = F.length(t)
+    goes_on = F.lit(False)
+    for end in OPEN_ENDS:
+        goes_on = goes_on | t.endswith(end)
+    figure = t.rlike(FIGURE) & ~t.rlike(NUMBERED)
+    capitals = (F.upper(t) == t) & (F.lower(t) != t) & (n > 4)
+    styled = (size >= body * 1.12) | ((bold | capitals) & (n < 70))
+    return n.between(3, 110) & ~goes_on & ~(t.rlike(r"[.!?]$") & (n > 40)) & (x1 - x0 <= col_width * 0.85) & ~figure & styled
+
+
+def pushed(stack: list[tuple[float, str]], size: float, text: str) -> list[tuple[float, str]]:
+    """A stack of headings with a new one, under those larger than it; three at most."""
+    return [*(x for x in stack if x[0] > size), (size, text)][-3:]
+
+
+def sections(headings: DataFrame) -> DataFrame:
+    """doc_id, nth and path (outer > inner) after each heading (doc_id, nth, size, text) of a document, in order of nth; a null text clears
+    the path."""
+
+    def fold(key: tuple, t: pa.Table) -> pa.Table:
+        stack, out = [], []
+        for r in sorted(t.to_pylist(), key=lambda r: r["nth"]):
+            stack = [] if r["text"] is None else pushed(stack, r["size"], r["text"])
+            out.append((r["doc_id"], r["nth"], " > ".join(x for _, x in stack)))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "nth", "path"])
+
+    return headings.select("doc_id", F.col("nth").cast("long").alias("nth"), F.col("size").cast("double").alias("size"), "text").groupBy("doc_id").applyInArrow(fold, "doc_id long, nth long, path string")
+
+
+def footnotes(lines: DataFrame, pages: DataFrame, most: int = 8) -> DataFrame:
+    """The first `most` footnotes of each page as an array: lines in its lowest 30 % that are small or begin with a mark."""
+    own = lines.join(pages.select(*PAGE, "height", "body_size"), PAGE)
+    small = (F.col("size") > 0) & (F.col("size") <= F.col("body_size") * 0.94)
+    own = own.where((F.col("y0") >= F.col("height") * 0.70) & (small | F.col("text").rlike(NOTE)) & F.length(F.trim("text")).between(8, 300))
+    own = own.withColumn("rn", F.row_number().over(Window.partitionBy(*PAGE).orderBy("line_no"))).where(F.col("rn") <= most)
+    notes = F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("t")))), lambda x: x["t"])
+    return own.groupBy(*PAGE).agg(notes.alias("notes"))
+
+
+# ---- boxes
+def inside(box: Column, within: Column, pad: float = 6.0) -> Column:
+    """Do two boxes meet, give or take pad? Anything is within null."""
+    hit = (box["x1"] >= within["x0"] - pad) & (box["x0"] <= within["x1"] + pad) & (box["y1"] >= within["y0"] - pad) & (box["y0"] <= within["y1"] + pad)
+    return within.isNull() | F.coalesce(hit, F.lit(False))
+
+
+def barred(boxes: list[tuple[float, float, float, float]], tol: float = 4.0) -> list[tuple[float, float, float, float]]:
+    """Boxes that lie on one line as one: a box whose top is within tol of the first of a line, the earliest that fits, belongs to it."""
+    lines: list[list[tuple]] = []
+    for b in sorted(boxes, key=lambda b: (b[1], b[0])):
+        home = next((x for x in lines if abs(x[0][1] - b[1]) <= tol), None)
+        lines.append([b]) if home is None else home.append(b)
+    return [(min(b[0] for b in x), min(b[1] for b in x), max(b[2] for b in x), max(b[3] for b in x)) for x in lines]
+
+
 def merged_boxes(boxes: DataFrame, tol: float = 4.0) -> DataFrame:
-    """Boxes of a fact that lie on one line, as one box: a box whose top is within tol of the one before belongs to its line."""
-    w = Window.partitionBy("fact_id").orderBy("y0", "x0")
-    own = boxes.withColumn("new", F.when(F.abs(F.col("y0") - F.lag("y0").over(w)) <= tol, 0).otherwise(1))
-    own = own.withColumn("line", F.sum("new").over(w))
-    return own.groupBy("fact_id", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    """Boxes of each fact (fact_id, x0, y0, x1, y1) that lie on one line, as one; see barred()."""
+
+    def fold(key: tuple, t: pa.Table) -> pa.Table:
+        got = barred([(r["x0"], r["y0"], r["x1"], r["y1"]) for r in t.to_pylist()], tol)
+        out = [(key[0].as_py(), n, *b) for n, b in enumerate(got, 1)]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), *[pa.float64()] * 4), strict=True)], ["fact_id", "line", "x0", "y0", "x1", "y1"])
+
+    return boxes.select(F.col("fact_id").cast("long").alias("fact_id"), "x0", "y0", "x1", "y1").groupBy("fact_id").applyInArrow(fold, "fact_id long, line long, x0 double, y0 double, x1 double, y1 double")
+
+
+def _tokens(text: str) -> list[str]:
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+def located_in(quote: str, value: str, words: list[dict], within: dict | None) -> tuple[str, list[tuple[float, float, float, float]]]:
+    """How a fact's evidence is found among a page's words (quote, value, block, none) and its boxes: the stretch of words that has the
+    quote's tokens best, three quarters of them at least; else up to four words with the value's digits, or six with one of its
+    tokens; else the block."""
+    near = lambda w: within is None or (w["x1"] >= within["x0"] - 6 and w["x0"] <= within["x1"] + 6 and w["y1"] >= within["y0"] - 6 and w["y0"] <= within["y1"] + 6)
+    box = lambda w: (w["x0"], w["y0"], w["x1"], w["y1"])
+    own = [w for w in words if near(w)]
+    want = _tokens(quote)
+    flat = [(t, i) for i, w in enumerate(own) for t in _tokens(w["text"])]
+    if len(want) >= 3 and flat:
+        code = {t: i for i, t in enumerate(dict.fromkeys(want))}
+        have = np.array([code.get(t, -1) for t, _ in flat] + [-1] * max(len(want) - len(flat), 0))
+        places = len(have) - len(want) + 1
+        hits = sum((have[j : j + places] == code[t]).astype(int) for j, t in enumerate(want))
+        at = int(hits.argmax())
+        if hits[at] >= 0.75 * len(want):
+            lo, hi = flat[at][1], flat[min(at + len(want), len(flat)) - 1][1]
+            return "quote", barred([box(w) for w in own[lo : hi + 1]])
+    digits = re.sub(r"\D", "", value)
+    if digits:
+        found = [box(w) for w in own if re.sub(r"\D", "", w["text"]) == digits][:4]
+    else:
+        found = [box(w) for w in own if set(_tokens(value)) & set(_tokens(w["text"]))][:6]
+    if found:
+        return "value", barred(found)
+    return ("block", [box(within)]) if within else ("none", [])
+
+
+RECTS = pa.list_(pa.struct([("x0", pa.float64()), ("y0", pa.float64()), ("x1", pa.float64()), ("y1", pa.float64())]))
+
+
+def located(facts: DataFrame, words: DataFrame) -> DataFrame:
+    """fact_id, how and rects of every fact (fact_id, doc_id, page_no, quote, value, block: a box or null), see located_in(). A page's words
+    come in their lines' order. Null quotes and values count as empty; a page without words has none."""
+    order = F.array_sort(F.collect_list(F.struct("line_no", "words")))
+    page = lines_of(words).groupBy(*PAGE).agg(F.flatten(F.transform(order, lambda x: x["words"])).alias("words"))
+    own = facts.select(F.col("fact_id").cast("long").alias("fact_id"), *PAGE, F.coalesce("quote", F.lit("")).alias("quote"), F.coalesce("value", F.lit("")).alias("value"), "block").join(page, PAGE, "left")
+
+    def run(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            got = [located_in(r["quote"], r["value"], r["words"] or [], r["block"]) for r in rows]
+            rects = [[dict(zip(("x0", "y0", "x1", "y1"), x, strict=True)) for x in found] for _, found in got]
+            yield pa.record_batch([pa.array([r["fact_id"] for r in rows], pa.int64()), pa.array([h for h, _ in got], pa.string()), pa.array(rects, RECTS)], ["fact_id", "how", "rects"])
+
+    return own.mapInArrow(run, "fact_id long, how string, rects array<struct<x0: double, y0: double, x1: double, y1: double>>")
