@@ -270,9 +270,9 @@ def _joined_stars(t: pa.Table) -> pa.Table:
 class DivideSkip:
     """Inverted lists over the sets added so far, searched for the sets that share at least `need` elements with a query."""
 
-    def __init__(self):
+    def __init__(self, heap_most: int = 20_000):
         self.lists: dict[int, array] = {}
-        self.most = 0
+        self.most, self.heap_most = 0, heap_most
 
     def add(self, number: int, elements: list[int]) -> None:
         """Numbers must rise."""
@@ -298,7 +298,8 @@ class DivideSkip:
         while long and len(found[-long]) <= 8:  # short lists are cheaper merged
             long -= 1
         short, probed = found[: len(found) - long], found[len(found) - long :]
-        number, n = self._heap(short, need - long)
+        merge = self._heap if sum(map(len, short)) <= self.heap_most else self._counted
+        number, n = merge(short, need - long)
         for i, x in enumerate(probed):
             still = n + (long - i) >= need
             if not still.all():
@@ -312,6 +313,13 @@ class DivideSkip:
         keep = n >= need
         return list(zip(number[keep].tolist(), n[keep].tolist(), strict=True))
 
+    @staticmethod
+    def _counted(lists: list[array], want: int) -> tuple[np.ndarray, np.ndarray]:
+        """The merge of very many entries, those of texts of some ten thousand words and more, for which a heap has no room: one count over them all."""
+        n = np.bincount(np.concatenate([np.frombuffer(x, np.int32) for x in lists]))
+        number = np.flatnonzero(n >= max(want, 1)).astype(np.int32)
+        return number, n[number]
+
     @staticmethod
     def _heap(lists: list[array], want: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers on at least `want` lists, from a heap of the lists' heads that skips to where `want` of them can meet."""

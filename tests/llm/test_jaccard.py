@@ -28,7 +28,7 @@ def brute(rows):
 def test_divide_skip():
     r = random.Random(3)
     for _ in range(150):
-        index, sets = DivideSkip(), []
+        index, sets = DivideSkip(heap_most=r.choice([0, 20_000])), []
         for n in range(r.randint(1, 40)):
             s = sorted({int(40 * r.random() ** 2) for _ in range(r.randint(1, 25))})
             index.add(n, s)
