@@ -450,7 +450,7 @@ def _chunked(sets: DataFrame, most: int, salt: int) -> tuple[DataFrame, int]:
     return own.withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc", F.lit(salt)), F.col("chunks")), F.lit(0)).cast("long")).drop("chunks"), big.count()
 
 
-def _clustered(sets: DataFrame, most: int = BLOCK) -> DataFrame:
+def _clustered(sets: DataFrame, most: int) -> DataFrame:
     """rep and component: the components of sets (cluster, doc, n, elements), no two of different clusters being linked.
 
     A task takes a cluster, or of one that has more than `most` elements a chunk. Then the leaders of chunks that belong together are
@@ -555,7 +555,7 @@ def connected(links: DataFrame, hub: int = 256) -> DataFrame:
     return links.select(F.col("b").alias("doc"), F.col("a").alias("cluster")).unionByName(links.select(F.col("a").alias("doc"), F.col("a").alias("cluster")).distinct())
 
 
-def jaccard_components(docs: DataFrame, chunk: int = BLOCK, marked_most: int = MARKS // 8) -> DataFrame:
+def jaccard_components(docs: DataFrame, chunk: int = BLOCK // 4, marked_most: int = MARKS // 8) -> DataFrame:
     """doc_id, n_shingles, component_id: the classes of documents that links of Jaccard 0.8 or more on word 5-grams connect.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case. A set is the distinct 5-grams, by a 64-bit hash; with fewer words the whole
