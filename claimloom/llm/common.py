@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -75,7 +77,14 @@ _KEPT: dict[str, dict] = {}
 
 
 def worker_cache(owner: str) -> dict:
-    """What an operator keeps in a Python worker between tasks. Workers outlive operators: what another one kept goes."""
-    for k in [k for k in _KEPT if k != owner]:
+    """What an operator keeps in a Python worker between tasks. Workers outlive operators: what another one kept goes, and the memory
+    that it used is given back."""
+    others = [k for k in _KEPT if k != owner]
+    for k in others:
         del _KEPT[k]
+    if others:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
     return _KEPT.setdefault(owner, {})

@@ -97,8 +97,13 @@ class Shard:
     def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
         n = len(docs)
         size = np.array([len(d) for d in docs], np.int64)
-        key, tf = np.unique(np.concatenate(docs).astype(np.int64) * n + np.repeat(np.arange(n), size), return_counts=True)
-        term, self.doc = key // n, (key % n).astype(np.int32)
+        most = max((int(d.max()) for d in docs if len(d)), default=0)
+        kind = np.uint32 if (most + 1) * n < 1 << 32 else np.uint64  # what a shard's sort takes is most of a task's memory
+        key = np.concatenate(docs).astype(kind)
+        key *= kind(n)
+        key += np.repeat(np.arange(n, dtype=kind), size)
+        key, tf = np.unique(key, return_counts=True)
+        term, self.doc = key // kind(n), (key % kind(n)).astype(np.int32)
         self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
         self.lo, self.hi = first, first + df
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
