@@ -32,6 +32,12 @@ def folded(text: Column, nfkc: bool = True) -> Column:
     return F.lower(F.trim(F.regexp_replace(own, r"\s+", " ")))
 
 
+def token(text: Column) -> Column:
+    """A word as read from a page: ligatures as letters, white space as single blanks, none at the ends. Null stays null."""
+    own = F.replace(F.replace(text, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
+    return F.trim(F.regexp_replace(own, r"[\s\x{00A0}]+", " "))
+
+
 def value_in_span(value: Column, span: Column) -> Column:
     """Why a value is not in its evidence, empty where it is; both folded. As written, else by its digits, else by its words."""
     digits = F.regexp_replace(value, "[^0-9]", "")
@@ -64,13 +70,22 @@ def indel_ratio(a: str, b: str) -> float:
 
 
 def distance(a: str, b: str) -> int:
-    """Edits of one character that make b of a."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Edits of one character that make b of a: the table's columns as bits of differences, a step for each character of b."""
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score = full, 0, len(a)
+    for c in b:
+        same = where.get(c, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        rise, fall = down | ~(level | up) & full, up & level
+        score += bool(rise & top) - bool(fall & top)
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        up, down = fall | ~(level | rise) & full, rise & level
+    return score
 
 
 def similarity(a: str, b: str) -> float:
@@ -115,7 +130,7 @@ def best_window(quote: str, source: str) -> tuple[int, int, float]:
 def _fuzzy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for q, s in zip(b["nq"], b["ns"], strict=True):
+        for q, s in zip(b["__nq"], b["__ns"], strict=True):
             score = partial_ratio(q, s)
             rows.append((-1, -1, score) if score < THRESHOLD else best_window(q, s))
         b["start"], b["end"], b["score"] = zip(*rows, strict=True) if rows else ((), (), ())
@@ -130,20 +145,20 @@ def grounded(facts: DataFrame, fuzzy: bool = True, nfkc: bool = True) -> DataFra
     in the evidence. Only quotes that fail the exact test and are long enough go to the kernel. Nulls count as empty; a fact
     without a quote fails. Repeated rows are kept; an empty table stays empty.
     """
-    own = facts.withColumn("nq", folded(F.col("quote"), nfkc)).withColumn("ns", folded(F.col("source"), nfkc)).withColumn("nv", folded(F.col("value"), nfkc))
-    at = F.position(F.col("nq"), F.col("ns")) - 1
+    own = facts.withColumn("__nq", folded(F.col("quote"), nfkc)).withColumn("__ns", folded(F.col("source"), nfkc)).withColumn("__nv", folded(F.col("value"), nfkc))
+    at = F.position(F.col("__nq"), F.col("__ns")) - 1
     blank = F.trim(F.coalesce("quote", F.lit(""))) == ""
     own = own.withColumn("start", F.when(~blank & (at >= 0), at).otherwise(-1))
-    own = own.withColumn("end", F.when(F.col("start") >= 0, F.col("start") + F.length("nq")).otherwise(-1)).withColumn("score", F.when(F.col("start") >= 0, 100.0).otherwise(0.0))
-    why = F.when(blank, "empty quote").when((F.col("start") < 0) & (F.length("nq") < SHORTEST), "short quote not found verbatim")
-    own = own.withColumn("why", why)
-    hard = (F.col("start") < 0) & F.col("why").isNull()
+    own = own.withColumn("end", F.when(F.col("start") >= 0, F.col("start") + F.length("__nq")).otherwise(-1)).withColumn("score", F.when(F.col("start") >= 0, 100.0).otherwise(0.0))
+    why = F.when(blank, "empty quote").when((F.col("start") < 0) & (F.length("__nq") < SHORTEST), "short quote not found verbatim")
+    own = own.withColumn("__why", why)
+    hard = (F.col("start") < 0) & F.col("__why").isNull()
     if fuzzy:
         tried = own.where(hard)
         own = own.where(~hard).unionByName(tried.mapInPandas(_fuzzy, tried.schema))
     found = F.col("start") >= 0
-    span = F.substring(F.col("ns"), F.col("start") + 1, F.col("end") - F.col("start"))
-    bad = F.when(F.col("why").isNotNull(), F.col("why")).when(~found | (F.col("score") < THRESHOLD), "quote not found in the source text").otherwise(value_in_span(F.col("nv"), span))
+    span = F.substring(F.col("__ns"), F.col("start") + 1, F.col("end") - F.col("start"))
+    bad = F.when(F.col("__why").isNotNull(), F.col("__why")).when(~found | (F.col("score") < THRESHOLD), "quote not found in the source text").otherwise(value_in_span(F.col("__nv"), span))
     out = own.withColumn("reason", bad)
     status = F.when(F.col("reason") != "", "failed").when(F.col("score") == 100.0, "verbatim").otherwise("fuzzy")
-    return out.withColumn("status", status).drop("nq", "ns", "nv", "why")
+    return out.withColumn("status", status).drop("__nq", "__ns", "__nv", "__why")

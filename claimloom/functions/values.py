@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,9 +27,21 @@ def _lookup(table: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
+def _forms() -> tuple[str, str]:
+    """Characters that compatibility folding (NFKC) makes another single one: full-width, superscript, circled and the like."""
+    own = [(c, n) for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and len(n := unicodedata.normalize("NFKC", c)) == 1 and n != c and not 0xF900 <= ord(c) < 0xFB00]
+    return "".join(c for c, _ in own), "".join(n for _, n in own)
+
+
+FORMS = _forms()
+
+
 def tidy(raw: Column) -> Column:
-    """One space for runs of white space (no-break spaces too), a minus for its look-alike. Full-width forms stay as they are."""
-    return F.trim(F.regexp_replace(F.replace(F.coalesce(raw, F.lit("")), F.lit("−"), F.lit("-")), "[\\s ]+", " "))
+    """One space for runs of white space (no-break spaces too), a minus for its look-alike, and the usual form of characters that have
+    another: full-width digits and signs, for one. Characters that fold to several (fractions, unit signs) stay as they are."""
+    own = F.coalesce(raw, F.lit(""))
+    own = F.when(own.rlike(r"[^\x00-\x7F]"), F.translate(own, *FORMS)).otherwise(own)
+    return F.trim(F.regexp_replace(F.replace(own, F.lit("−"), F.lit("-")), "[\\s ]+", " "))
 
 
 def sig_figs(number: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,22 +53,55 @@ def _best(tried: DataFrame, kind: str, computed: Column, a: str, b: str) -> Data
     return own.select(F.lit(kind).alias("kind"), F.col("t_id").alias("target"), F.col(f"{a}_id").alias("part_a"), F.col(f"{b}_id").alias("part_b"), "computed", F.col("t_value_num").alias("stated"), "error")
 
 
+#: Buckets of amounts on a logarithmic scale, wider than the tolerance to either side, and of days, wider than the gap.
+AMOUNT, DAYS = math.log((1 + 2 * TOLERANCE) / (1 - 2 * TOLERANCE)), GAP_DAYS + 1
+
+
+def _about(x: Column) -> Column:
+    return F.floor(F.log(F.abs(x)) / AMOUNT).cast("long")
+
+
+def _sharing(t: DataFrame, n: DataFrame) -> DataFrame:
+    """Targets with the amounts of their subject and period that share a word with them: an equi-join on that word too, so that a subject
+    of very many facts is spread over its words. Each pair is taken at its first common word."""
+    words = lambda df, p: df.withColumn("word", F.explode(F.array_distinct(f"{p}_words")))
+    same = F.col("t_word") == F.col("n_word")
+    for c in ("who", "p0", "p1"):
+        same = same & (F.col(f"t_{c}") == F.col(f"n_{c}"))
+    both = words(t, "t").withColumnRenamed("word", "t_word").join(words(n, "n").withColumnRenamed("word", "n_word"), same)
+    first = F.get(F.filter("t_words", lambda w: F.array_contains(F.col("n_words"), w)), F.lit(0))
+    return both.where(F.col("t_word") == first).drop("t_word", "n_word")
+
+
 def ratios(facts: DataFrame) -> DataFrame:
-    """Percentages of ratio-like measures that one amount makes of another, in one subject and period and one unit."""
+    """Percentages of ratio-like measures that one amount makes of another, in one subject and period and one unit.
+
+    What the other amount must be follows from the percentage, so it is found by an equi-join on its bucket; only percentages of zero
+    are tried with every amount of their subject and period."""
     percent, level = _parts(facts)
     t, n, d = _named(percent.where("ratio"), "t"), _named(level, "n"), _named(level, "d")
-    on = lambda x, y: (F.col(f"{x}_who") == F.col(f"{y}_who")) & (F.col(f"{x}_p0") == F.col(f"{y}_p0")) & (F.col(f"{x}_p1") == F.col(f"{y}_p1"))
-    tried = t.join(n, on("t", "n") & F.arrays_overlap("t_words", "n_words")).join(d, on("t", "d") & (F.col("n_unit_family") == F.col("d_unit_family")) & (F.col("n_id") != F.col("d_id")))
-    return _best(tried, "ratio", F.col("n_value_num") / F.col("d_value_num") * 100, "n", "d")
+    tried = _sharing(t, n)
+    same = (F.col("t_who") == F.col("d_who")) & (F.col("t_p0") == F.col("d_p0")) & (F.col("t_p1") == F.col("d_p1")) & (F.col("n_unit_family") == F.col("d_unit_family")) & (F.col("n_id") != F.col("d_id"))
+    some = F.abs("t_value_num") >= 1e-9
+    want = _about(F.col("n_value_num") / F.col("t_value_num") * 100)
+    near = tried.where(some).withColumn("bucket", F.explode(F.array(want - 1, want, want + 1)))
+    found = near.join(d.withColumn("d_bucket", _about(F.col("d_value_num"))), same & (F.col("bucket") == F.col("d_bucket"))).drop("bucket", "d_bucket")
+    found = found.unionByName(tried.where(~some).join(d, same))
+    return _best(found, "ratio", F.col("n_value_num") / F.col("d_value_num") * 100, "n", "d")
 
 
 def growth(facts: DataFrame) -> DataFrame:
-    """Percentages that are the change of one measure from the period just before, at most 40 days away."""
+    """Percentages that are the change of one measure from the period just before, at most 40 days away: an equi-join on a bucket of
+    the earlier period's last day."""
     percent, level = _parts(facts)
     t, now, old = _named(percent, "t"), _named(level, "n"), _named(level, "o")
-    tried = t.join(now, (F.col("t_who") == F.col("n_who")) & (F.col("t_p0") == F.col("n_p0")) & (F.col("t_p1") == F.col("n_p1")) & F.arrays_overlap("t_words", "n_words"))
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
+    last = F.floor((day("n_p0") - 1) / DAYS)
+    tried = _sharing(t, now).withColumn("bucket", F.explode(F.array(last, last - 1)))
+    old = old.withColumn("o_bucket", F.floor(day("o_p1") / DAYS))
     near = (F.col("o_p1") < F.col("n_p0")) & (F.datediff("n_p0", "o_p1") <= GAP_DAYS)
-    tried = tried.join(old, (F.col("n_who") == F.col("o_who")) & (F.col("n_unit_family") == F.col("o_unit_family")) & near & F.arrays_overlap("n_words", "o_words"))
+    same = (F.col("n_who") == F.col("o_who")) & (F.col("n_unit_family") == F.col("o_unit_family")) & (F.col("bucket") == F.col("o_bucket"))
+    tried = tried.join(old, same & near & F.arrays_overlap("n_words", "o_words"))
     return _best(tried, "growth", (F.col("n_value_num") - F.col("o_value_num")) / F.abs("o_value_num") * 100, "o", "n")
 
 

@@ -36,11 +36,22 @@ def neighbours(fact_id: int, relations: DataFrame) -> DataFrame:
     return a.unionByName(relations.where((F.col("fact_b") == fact_id) & (F.col("fact_a") != fact_id)).withColumn("other", F.col("fact_a")))
 
 
-def browsed(relations: DataFrame, facts: DataFrame, kind: str | None = None, cross_document: bool = False, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of edges with both facts, surest first; UNRELATED only where asked for."""
+def _holds(column: str, q: str):
+    return F.contains(F.lower(F.coalesce(column, F.lit(""))), F.lit(q.lower()))
+
+
+def browsed(relations: DataFrame, facts: DataFrame, kind: str | None = None, cross_document: bool = False, q: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of edges with both facts, surest first; UNRELATED only where asked for. q is looked for in the first fact's subject and
+    attribute, both values and the explanation, whatever its case."""
     own = relations.where(F.col("type") == kind if kind else F.col("type") != "UNRELATED")
-    f = facts.select("id", "doc_id", "value_raw", "period_label")
-    own = own.join(f.toDF("fact_a", "doc_a", "value_a", "period_a"), "fact_a").join(f.toDF("fact_b", "doc_b", "value_b", "period_b"), "fact_b")
+    f = facts.select("id", "doc_id", "value_raw", "period_label", "subject", "attribute")
+    own = own.join(f.toDF("fact_a", "doc_a", "value_a", "period_a", "subject", "attribute"), "fact_a").join(f.drop("subject", "attribute").toDF("fact_b", "doc_b", "value_b", "period_b"), "fact_b")
+    if q:
+        columns = [c for c in ("subject", "attribute", "value_a", "value_b", "explanation") if c in own.columns]
+        hit = F.lit(False)
+        for c in columns:
+            hit = hit | _holds(c, q)
+        own = own.where(hit)
     if cross_document:
         own = own.where("doc_a <> doc_b")
     return own.orderBy(F.desc("confidence"), "fact_a", "fact_b", "type").offset(offset).limit(limit)
@@ -61,3 +72,32 @@ def stats(documents: DataFrame, facts: DataFrame, relations: DataFrame) -> DataF
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
     by = relations.where("type <> 'UNRELATED'").groupBy(F.concat(F.lit("relations "), F.col("type")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     return n(documents, "documents").unionByName(n(facts, "facts")).unionByName(by)
+
+
+def block_counts(documents: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Documents with the number of their blocks and of those worth extraction."""
+    n = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.when(F.col("skip") == "", 1).otherwise(0)).alias("extractable"))
+    return documents.join(n, "doc_id", "left").fillna(0, ["blocks", "extractable"])
+
+
+def inspected(blocks: DataFrame, doc_id: int, page_no: int | None = None, extractable: bool = False, limit: int = 20) -> DataFrame:
+    """A document's blocks in order, of one page or those worth extraction if asked for."""
+    own = blocks.where(F.col("doc_id") == doc_id)
+    if page_no is not None:
+        own = own.where(F.col("page_no") == page_no)
+    if extractable:
+        own = own.where("skip = ''")
+    return own.orderBy("ordinal").limit(limit)
+
+
+def facts_about(facts: DataFrame, q: str, doc_id: int | None = None, limit: int = 50) -> DataFrame:
+    """Facts whose attribute or subject holds q, whatever its case, by id."""
+    own = facts.where(_holds("attribute", q) | _holds("subject", q))
+    return (own if doc_id is None else own.where(F.col("doc_id") == doc_id)).orderBy("id").limit(limit)
+
+
+def rejected_feed(rejected: DataFrame, documents: DataFrame, blocks: DataFrame | None = None, limit: int = 100) -> DataFrame:
+    """The latest rejections with their document's title and, where blocks (block_id, page_no) are given, the page; kept without either."""
+    top = rejected.orderBy(F.desc("id")).limit(limit)
+    own = top.join(documents.select("doc_id", "title"), "doc_id", "left")
+    return own if blocks is None else own.join(blocks.select("block_id", "page_no"), "block_id", "left")

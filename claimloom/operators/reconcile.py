@@ -41,11 +41,25 @@ def best_evidence(facts: DataFrame) -> DataFrame:
 PAIR = ["id", "doc_id", "value_raw", "value_num", "unit_family", "sig_figs", "period_start", "period_end", "confidence", "claim"]
 
 
+def _contenders(facts: DataFrame, most: int) -> DataFrame:
+    """Facts that may be in one of the first `most` pairs of their loose key.
+
+    A fact comes before another in every pair with a third if it is as confident and has the smaller id, unless it is of the third's
+    document and the other isn't. So of the facts of one confidence those count that are among the first most + 1 of their document and
+    the first 2 * (most + 1) of these: whoever comes after has `most` others, out of the third's document, before it. Both limits are
+    taken before the shuffle too.
+    """
+    few = lambda df, by, n: df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("rn") <= n).drop("rn")
+    own = few(facts, ["loose_key", "confidence", "doc_id"], most + 1)
+    return few(own, ["loose_key", "confidence"], 2 * (most + 1))
+
+
 def candidate_pairs(facts: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
     """Pairs (a, b) of facts of one loose key, a before b by id: those of different documents first, then by the lesser
-    confidence, then ids, at most `most` of a cluster. Only clusters of two or more are joined, and the rank's limit is taken
-    before the shuffle too."""
-    side = lambda p: facts.select("loose_key", F.struct(*PAIR).alias(p))
+    confidence, then ids, at most `most` of a cluster. Ids are unique. Only facts that can be in one of these pairs are joined, so a measure
+    with any number of facts is some hundred of each confidence; the pairs' limit is taken before the shuffle too."""
+    own = _contenders(facts, most)
+    side = lambda p: own.select("loose_key", F.struct(*PAIR).alias(p))
     pairs = side("a").join(side("b"), "loose_key").where("a.id < b.id")
     w = Window.partitionBy("loose_key").orderBy(
         (F.col("a.doc_id") == F.col("b.doc_id")).asc(), F.least("a.confidence", "b.confidence").desc(), "a.id", "b.id"
@@ -138,7 +152,7 @@ def new_relations(found: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def narrated(edges: DataFrame, facts: DataFrame, documents: DataFrame) -> DataFrame:
-    """A sentence for each corroborating or reconciled edge that a rule decided."""
+    """A sentence for each corroborating or reconciled edge that a rule decided. Its wording is fixed."""
     f = facts.join(documents, "doc_id").select("id", F.coalesce("publisher", "title").alias("src"), "value_raw", "period_label", "scope", "basis")
     own = edges.where("decided_by = 'rule'").join(f.toDF("fact_a", "sa", "va", "pa", "ca", "ba"), "fact_a").join(f.toDF("fact_b", "sb", "vb", "pb", "cb", "bb"), "fact_b")
     says = F.concat(F.col("sa"), F.lit(" reports "), F.col("va"), F.lit(" and "), F.col("sb"), F.lit(" reports "), F.col("vb"))

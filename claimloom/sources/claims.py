@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimloom.sources.store import kept
+
 #: Sets of claims: a nation's revenue by fiscal year (C1, document 1) and quarter (C2), rounded (C3, document 2), as shipped (C4),
 #: its growth (C5, document 3), its finished part as amount and share (C6), disagreeing figures (C7), and repeats of C1 (C8).
 CLAIMS = """
@@ -55,10 +57,15 @@ DOCUMENTS = "SELECT * FROM (VALUES (1, 'Filing', 'Registrar', '2003-05-01'), (2,
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The claims of a data folder. What is grouped are orders and line items, by nation and period, with partial sums before the shuffle."""
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(CLAIMS)
+    """The claims of a data folder, a table that a session writes once. What is grouped are orders and line items, by nation and period,
+    with partial sums before the shuffle."""
+
+    def make() -> DataFrame:
+        for t in TABLES:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        return spark.sql(CLAIMS)
+
+    return kept(spark, "claims", sf_dir, make)
 
 
 def documents(spark: SparkSession) -> DataFrame:

@@ -29,7 +29,7 @@ def folded_lines(text: Column, chars: int = CHARS) -> Column:
 
 
 def laid(lines: DataFrame, size: float = BODY) -> DataFrame:
-    """Words of lines (doc_id, page_no, row, left, text): a character is PITCH wide, a row LEADING high."""
+    """Words of lines (doc_id, page_no, row, left, text): a character is PITCH wide, a row LEADING high; a row may be a fraction."""
     at = lambda w, i: F.length(F.array_join(F.slice(w, F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0)
     parts = F.split("text", " ")
     own = lines.select("doc_id", "page_no", "row", "left", F.explode(F.filter(F.transform(parts, lambda w, i: F.struct(at(parts, i).alias("at"), w.alias("word"))), lambda s: s["word"] != "")).alias("s"))
@@ -47,4 +47,5 @@ def text_words(documents: DataFrame, columns: int = 1) -> DataFrame:
     own = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(folded_lines(F.col("text"), chars)).alias("n", "text")).where("trim(text) <> ''")
     place = F.col("n") % (LINES_A_PAGE * columns)
     left = F.floor(place / LINES_A_PAGE) * (WIDTH / columns + 6.0) + 12.0
-    return laid(own.select("doc_id", F.floor(F.col("n") / (LINES_A_PAGE * columns)).alias("page_no"), (place % LINES_A_PAGE).alias("row"), left.alias("left"), "text"))
+    row = place % LINES_A_PAGE + F.floor(place / LINES_A_PAGE) / 2  # the right column stands half a row lower, so that lines aren't one
+    return laid(own.select("doc_id", F.floor(F.col("n") / (LINES_A_PAGE * columns)).alias("page_no"), row.alias("row"), left.alias("left"), "text"))

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from claimloom.operators import derived, reconcile, vocabulary
-from claimloom.plans import catalogue
+from claimloom.plans import catalogue, registry
 from claimloom.streaming.incremental import ingest_stream
 
 SF = "/root/testdata/sf0.001"
@@ -30,13 +30,13 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, SF)
+    df = registry.QUERIES[name](spark, SF)
     names = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in names) for r in df.collect())
-    if name in catalogue.ORACLES:
-        cur = duck.execute(catalogue.ORACLES[name])
+    if name in registry.ORACLES:
+        cur = duck.execute(registry.ORACLES[name])
         own = [d[0] for d in cur.description]
         assert sorted(own) == names
         want = sorted(tuple(plain(r[own.index(c)]) for c in names) for r in cur.fetchall())
