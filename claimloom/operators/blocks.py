@@ -1,4 +1,8 @@
-"""Extraction units of documents: prefilter, packing, table rendering, running lines, hashes."""
+"""Extraction units of documents: prefilter, packing, table rendering and chunks, running lines, prompts, hashes.
+
+Null texts, sections and notes count as empty; a text without a line that isn't blank has no block. Repeated rows are units of
+their own; empty tables give empty ones.
+"""
 
 from __future__ import annotations
 

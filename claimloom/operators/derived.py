@@ -1,4 +1,8 @@
-"""Stated percentages that other facts imply: ratios of two amounts, and growth between adjoining periods."""
+"""Stated percentages that other facts imply: ratios of two amounts, and growth between adjoining periods.
+
+Facts without a number, a period or evidence take no part. Of derivations that are equally close the one of smaller ids counts. An
+empty table gives none.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Reads over documents, facts and relations."""
+"""Reads over documents, facts and relations: pages of rows, counts and feeds.
+
+Limits are what a reader asked for. Ties are broken by ids. Null fields match no search; documents without facts, blocks or
+rejections count none; empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
@@ -101,3 +105,10 @@ def rejected_feed(rejected: DataFrame, documents: DataFrame, blocks: DataFrame |
     top = rejected.orderBy(F.desc("id")).limit(limit)
     own = top.join(documents.select("doc_id", "title"), "doc_id", "left")
     return own if blocks is None else own.join(blocks.select("block_id", "page_no"), "block_id", "left")
+
+
+def evidence(fact_id: int, facts: DataFrame, located: DataFrame) -> DataFrame:
+    """Where a fact's evidence stands: its quote, page (from 1), how it was found and a row for each of its boxes; a fact that wasn't found
+    has one row without a box."""
+    own = facts.where(F.col("id") == fact_id).select("id", "evidence_quote", (F.col("evidence_page") + 1).alias("page"))
+    return own.join(located.withColumnRenamed("fact_id", "id"), "id", "left").select("id", "evidence_quote", "page", "how", F.explode_outer("rects").alias("rect"))

@@ -1,4 +1,8 @@
-"""Reconciliation: best evidence, candidate pairs, rules, narration and the relation sink."""
+"""Reconciliation: best evidence, candidate pairs, rules, narration and the relation sink.
+
+Ids are unique. Null parts of a claim count as not stated, null confidence comes after any other; a fact without a number is compared
+by its text. Ties are broken by ids. Empty tables give empty ones; columns that aren't named here are kept or not read.
+"""
 
 from __future__ import annotations
 

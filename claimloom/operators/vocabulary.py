@@ -1,4 +1,8 @@
-"""The vocabulary of attributes: distinct names, fuzzy blocking, unit collisions, relinking."""
+"""The vocabulary of attributes: distinct names, fuzzy blocking, unit collisions, relinking.
+
+A null unit fits any in blocking, and is a unit of its own elsewhere, compared null-safely. Ties go to the commoner name, then by the
+alphabet. Empty tables give empty ones.
+"""
 
 from __future__ import annotations
 

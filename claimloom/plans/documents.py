@@ -56,6 +56,23 @@ def data_files(spark, sf_dir):
     return ingest.files(spark, f"{sf_dir}/*").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "sha256")
 
 
+@query("S7_received", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 400 ELSE 202 END AS status, CASE WHEN page_id % 3 <> 0 THEN sha256(concat(url, CASE WHEN page_id % 3 = 1 THEN '.pdf' ELSE '.PDF' END, '|', sha256(coalesce(html, '')))) END AS job FROM pages")
+def uploads(spark, sf_dir):
+    """Pages as uploads, a third each named .html, .pdf and .PDF."""
+    kind = F.get(F.array(F.lit(".html"), F.lit(".pdf"), F.lit(".PDF")), (F.col("page_id") % 3).cast("int"))
+    own = table(spark, sf_dir, "pages").select("page_id", F.concat("url", kind).alias("name"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("sha256"))
+    return ingest.received(own).select("page_id", "status", "job")
+
+
+@query("S13_resolve", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('in/', page_id, '.pdf') WHEN 1 THEN concat('moved/', page_id, '.pdf') END AS path FROM pages")
+def resolve(spark, sf_dir):
+    """Files of pages, a third each where they were, moved, and lost."""
+    own = table(spark, sf_dir, "pages").select("page_id")
+    name = F.concat(F.col("page_id").cast("string"), F.lit(".pdf"))
+    files = own.where("page_id % 3 < 2").select(F.concat(F.when(F.col("page_id") % 3 == 0, "in/").otherwise("moved/"), name).alias("path"))
+    return ingest.resolved(own.withColumn("stored_path", F.concat(F.lit("in/"), name)), files).select("page_id", "path")
+
+
 @query("S14_json", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, event_type AS kind FROM events")
 def json_columns(spark, sf_dir):
     """Properties and type through a JSON column and back."""
@@ -251,13 +268,26 @@ def region_tiles(spark, sf_dir):
 @query("G8_locate", f"""WITH {PAGED}, t AS (SELECT *, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM line), first AS (SELECT * FROM t WHERE page_no = 0 AND len(toks) >= 3 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) = 1)
 SELECT f.doc_id AS fact_id, 'quote' AS how, y0 FROM first f""")
 def locate(spark, sf_dir):
-    """The first line of three words on each document's first page as a quote, found again on the page."""
+    got = quoted(spark, sf_dir)[1]
+    return got.select("fact_id", "how", F.array_max(F.transform("rects", lambda r: r["y0"])).alias("y0"))
+
+
+def quoted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The first line of three words on each document's first page as a fact's quote, and where it is found on the page."""
     own = paged_lines(spark, sf_dir).where("page_no = 0").withColumn("toks", F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).where("toks >= 3")
     first = own.groupBy("doc_id").agg(F.min_by("text", "line_no").alias("quote"))
     box = F.lit(None).cast("struct<x0: double, y0: double, x1: double, y1: double>")
     facts = first.select(F.col("doc_id").alias("fact_id"), "doc_id", F.lit(0).alias("page_no"), "quote", F.lit("").alias("value"), box.alias("block"))
-    got = layout.located(facts, pages.text_words(table(spark, sf_dir, "documents")))
-    return got.select("fact_id", "how", F.array_max(F.transform("rects", lambda r: r["y0"])).alias("y0"))
+    return facts, layout.located(facts, pages.text_words(table(spark, sf_dir, "documents")))
+
+
+@query("Q14_evidence", f"WITH {PAGED}, t AS (SELECT *, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM line), f AS (SELECT * FROM t WHERE page_no = 0 AND len(toks) >= 3 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) = 1) SELECT doc_id AS id, 1 AS page, 'quote' AS how, y0 FROM f WHERE doc_id = (SELECT min(doc_id) FROM f)")
+def evidence_of_one(spark, sf_dir):
+    """Where the evidence of the first document's fact stands."""
+    facts, got = quoted(spark, sf_dir)
+    first = facts.agg(F.min("fact_id")).first()[0]
+    out = reads.evidence(first, facts.select(F.col("fact_id").alias("id"), F.col("quote").alias("evidence_quote"), F.col("page_no").alias("evidence_page")), got)
+    return out.select("id", "page", "how", F.col("rect.y0").alias("y0"))
 
 
 @query("G9_merge", f"WITH {PAGED} SELECT doc_id * 10 + page_no AS fact_id, x0, x1, y0, y0 + 10 AS y1 FROM line WHERE page_no < 10")

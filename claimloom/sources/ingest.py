@@ -1,4 +1,7 @@
-"""Documents as they come in: content addresses, idempotent appends, response caches."""
+"""Documents as they come in: content addresses, idempotent appends, response caches, uploads and where their files lie.
+
+A null text counts as empty, a null name is no file of any kind. Contents that repeat are taken in once; empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
@@ -35,3 +38,20 @@ def files(spark: SparkSession, glob: str) -> DataFrame:
 def latest_jobs(progress: DataFrame) -> DataFrame:
     w = Window.partitionBy("job").orderBy(F.desc("at"))
     return progress.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+def received(uploads: DataFrame, suffix: str = ".pdf") -> DataFrame:
+    """uploads (name, sha256) with the status of each: 202 and a job for files of the wanted kind, whatever its case, else 400 and none. A
+    job is known by name and content, so an upload that comes again is the same job."""
+    fits = F.coalesce(F.lower("name").endswith(suffix), F.lit(False))
+    return uploads.withColumns({"status": F.when(fits, 202).otherwise(400), "job": F.when(fits, F.sha2(F.concat_ws("|", "name", "sha256"), 256))})
+
+
+def resolved(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """documents (stored_path) with path: where their file lies now among files (path): as stored, else the first by path of the same
+    name in any folder, else null."""
+    name = lambda c: F.substring_index(c, "/", -1)
+    here = files.select(F.col("path").alias("as_stored")).distinct()
+    moved = files.groupBy(name("path").alias("moved_name")).agg(F.min("path").alias("moved"))
+    own = documents.join(here, F.col("stored_path") == F.col("as_stored"), "left").join(moved, name("stored_path") == F.col("moved_name"), "left")
+    return own.withColumn("path", F.coalesce("as_stored", "moved")).drop("as_stored", "moved", "moved_name")
