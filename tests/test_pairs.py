@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from claimloom.functions import keys
 from claimloom.operators import blocks, derived, reads, reconcile, vocabulary
 from claimloom.sources import ingest
 
@@ -87,3 +88,23 @@ def test_nulls_and_nothing(spark):
     assert reconcile.best_evidence(reconcile.keyed(df)).count() == 4 and reads.facts_about(df, "SAL").count() == 4
     texts = spark.createDataFrame([(1, None), (2, ""), (3, "\n \n"), (None, "a b")], "doc_id long, text string")
     assert blocks.document_blocks(texts).count() == 1 and blocks.document_blocks(texts.limit(0)).count() == 0
+
+
+def test_families_lose_no_group(spark):
+    """The fold by family against the same fold over all names at once."""
+    r = random.Random(6)
+    words = ["wheat", "rye", "oat", "sales", "stock", "yield", "margin", "farm", "acre", "seed"]
+    names = {" ".join(r.sample(words, r.randint(1, 4))) for _ in range(90)}
+    names |= {x[: r.randint(1, len(x))] + r.choice(["s", "", "es"]) for x in names} | {"a", "ab", "ba", "x y", "y x"}
+    rows = [(x, r.choice(["percent", "number", None]), r.randint(1, 9)) for x in sorted(names)]
+    items = spark.createDataFrame(rows, "attribute_raw string, unit_family string, n long").repartition(3)
+    known = [("wheat sales", "number", ["sales of wheat", "wheat turnover"]), ("farm yield", None, [])]
+    plain = [{"attribute_raw": a, "unit_family": u, "n": n} for a, u, n in rows]
+    phrase = {x.s: x.p for x in spark.createDataFrame([(x,) for x in {*names, *(k[0] for k in known), *(a for k in known for a in k[2])}], "s string").withColumn("p", keys.phrase(F.col("s"))).collect()}
+    plain = sorted(({**p, "phrase": phrase[p["attribute_raw"]]} for p in plain), key=lambda p: (-p["n"], p["attribute_raw"], p["unit_family"] or ""))
+    for seeds in ([], known):
+        start = sorted(({"canon": c, "unit_family": u, "phrase": phrase[c], "phrases": [phrase[a] for a in al]} for c, u, al in seeds), key=lambda g: g["canon"])
+        want = {(x["attribute_raw"], x["unit_family"], x["canon"]) for x in vocabulary._blocked(plain, start)}
+        df = spark.createDataFrame(seeds, "canon string, unit_family string, aliases array<string>") if seeds else None
+        got = vocabulary.blocked(items, df).collect()
+        assert {(x.attribute_raw, x.unit_family, x.canon) for x in got} == want and len(got) == len(rows)
