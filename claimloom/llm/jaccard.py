@@ -414,13 +414,13 @@ def components(docs: list[int], sets: list[np.ndarray]) -> tuple[list[int], list
 FOUND = "cluster long, doc long, component long, n long, elements binary"
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by cluster and chunk; memory holds one chunk. Leaders keep their elements."""
+def _search(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
+    """Rows come by cluster and chunk; memory holds one chunk. Leaders keep their elements, if asked to."""
     at, docs, sets = None, [], []
 
     def done() -> pa.RecordBatch:
         comp, lead = components(docs, sets)
-        leads = set(lead)
+        leads = set(lead if keep else ())
         raw = [s.tobytes() if i in leads else None for i, s in enumerate(sets)]
         return _batch([[at[0]] * len(docs), docs, comp, [len(s) for s in sets], raw], FOUND)
 
@@ -436,10 +436,10 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _searched(sets: DataFrame) -> DataFrame:
-    """The components within each cluster and chunk of sets, as a table."""
+def _searched(sets: DataFrame, keep: bool = True) -> DataFrame:
+    """The components within each cluster and chunk of sets."""
     dealt = sets.select("cluster", "chunk", "doc", "elements").repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "doc")
-    return written(dealt.mapInArrow(_search, FOUND), "jaccard-found")
+    return dealt.mapInArrow(lambda b: _search(b, keep), FOUND)
 
 
 def _chunked(sets: DataFrame, most: int, salt: int) -> tuple[DataFrame, int]:
@@ -450,8 +450,8 @@ def _chunked(sets: DataFrame, most: int, salt: int) -> tuple[DataFrame, int]:
     return own.withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc", F.lit(salt)), F.col("chunks")), F.lit(0)).cast("long")).drop("chunks"), big.count()
 
 
-def _clustered(sets: DataFrame, most: int) -> DataFrame:
-    """rep and component: the components of sets (cluster, doc, n, elements), no two of different clusters being linked.
+def _clustered(lead: DataFrame, cluster: DataFrame, most: int) -> DataFrame:
+    """rep and component: the components of sets (doc, n, elements), no two of different clusters (doc, cluster) being linked.
 
     A task takes a cluster, or of one that has more than `most` elements a chunk. Then the leaders of chunks that belong together are
     searched in the same way, until each cluster's leaders are one chunk or don't get fewer. So a large group of near copies becomes one
@@ -459,28 +459,26 @@ def _clustered(sets: DataFrame, most: int) -> DataFrame:
     components: so the cluster is cut again, by components (of which only large ones are cut), and the pairs of its chunks are
     searched, but for those of one component. That work grows with the square of a cluster's chunks that aren't yet known to belong together.
     """
+    sets = lead.join(cluster, "doc").select("cluster", "doc", "n", "elements")
+    if sets.groupBy("cluster").agg(F.sum("n").alias("total")).where(F.col("total") > most).isEmpty():
+        found = _searched(sets.withColumn("chunk", F.lit(0)), keep=False)
+        return written(found.groupBy(F.col("doc").alias("rep")).agg(F.min("component").alias("component")), "jaccard-components")
+    sets = written(sets, "jaccard-sets")
     now, cut = _chunked(sets, most, 0)
-    found = _searched(now)
-    links = [found]
-    if cut:
-        level, lead, before = 0, found.where("elements IS NOT NULL"), None
-        while cut:
-            level += 1
-            lead, cut = _chunked(lead.select("cluster", "doc", "n", "elements"), most, level)
-            count = lead.count()
-            if cut and before is not None and count > 0.9 * before:
-                break
-            before = count
-            again = _searched(lead)
-            links.append(again)
-            lead = again.where("elements IS NOT NULL")
-        links.append(_across(sets, links, most))
-    pairs = None
-    for x in links:
-        own = x.select(F.col("component").alias("a"), F.col("doc").alias("b"))
-        pairs = own if pairs is None else pairs.unionByName(own)
-    if cut == 0 and len(links) == 1:
-        return written(pairs.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("component")), "jaccard-components")
+    links = [written(_searched(now), "jaccard-found")]
+    level, before = 0, None
+    while cut:
+        level += 1
+        lead, cut = _chunked(links[-1].where("elements IS NOT NULL").select("cluster", "doc", "n", "elements"), most, level)
+        count = lead.count()
+        if cut and before is not None and count > 0.9 * before:
+            break
+        before = count
+        links.append(written(_searched(lead), "jaccard-found"))
+    links.append(written(_across(sets, links, most), "jaccard-across"))
+    pairs = links[0].select(F.col("component").alias("a"), F.col("doc").alias("b"))
+    for x in links[1:]:
+        pairs = pairs.unionByName(x.select(F.col("component").alias("a"), F.col("doc").alias("b")))
     low = connected(pairs.where("a <> b"))
     return sets.select(F.col("doc").alias("rep")).distinct().join(low.withColumnRenamed("doc", "rep"), "rep", "left").select("rep", F.coalesce("cluster", "rep").alias("component"))
 
@@ -506,7 +504,7 @@ def _across(sets: DataFrame, links: list[DataFrame], most: int) -> DataFrame:
     pair = a.join(b, "cluster").where("x <= y AND (x.of IS NULL OR y.of IS NULL OR x.of <> y.of)").withColumn("chunk", F.monotonically_increasing_id())
     pair = written(pair, "jaccard-pairs")
     side = pair.select("cluster", "chunk", F.explode(F.array_distinct(F.array("x", "y"))).alias("part"))
-    return _searched(own.join(side, ["cluster", "part"]))
+    return _searched(own.join(side, ["cluster", "part"]), keep=False)
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -540,7 +538,7 @@ def connected(links: DataFrame, hub: int = 256) -> DataFrame:
     """
     links, before = written(links.mapInArrow(_contract, "a long, b long"), "links"), None
     while True:
-        n, h = links.distinct().agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        n, h = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (n, h) == before:
             break
         before = n, h
@@ -602,8 +600,7 @@ def jaccard_components(docs: DataFrame, chunk: int = BLOCK // 4, marked_most: in
     stars = lead.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda s, r: _prefixes(s, r, parts), STARS)
     links = stars.groupBy("part").applyInArrow(_joined_stars, "a long, b long")
     cluster = written(connected(links), "jaccard-clusters")
-    sets = written(lead.join(cluster, "doc").select("cluster", "doc", "n", "elements"), "jaccard-sets")
-    return _labelled(stat, member, _clustered(sets, chunk))
+    return _labelled(stat, member, _clustered(lead, cluster, chunk))
 
 
 def _labelled(stat: DataFrame, member: DataFrame, comp: DataFrame) -> DataFrame:
