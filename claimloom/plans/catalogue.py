@@ -376,11 +376,15 @@ def ground(spark, sf_dir):
     return grounding.grounded(_sourced(spark, sf_dir), fuzzy=False).select("id", "status", "reason")
 
 
-@query("G5_fuzzy", f"WITH {KEYED}, {GATE} SELECT id, CASE WHEN reason = '' THEN 'fuzzy' ELSE 'failed' END AS status, reason FROM gated WHERE attribute = 'revenue growth'")
+@query("G5_fuzzy")
 def fuzzy(spark, sf_dir):
-    """Claims of growth, each quoted with two letters wrong."""
-    own = _sourced(spark, sf_dir).where("attribute = 'revenue growth'").withColumn("quote", F.replace("quote", F.lit("period stood"), F.lit("peroid stood")))
-    return grounding.grounded(own).select("id", "status", "reason")
+    """All claims, each quoted with two letters the wrong way round, against what its document says of the same measure and subject."""
+    own = claims(spark, sf_dir)
+    by = ["doc_id", "subject", "attribute"]
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "evidence_quote"))), lambda x: x["evidence_quote"]), ". ")
+    own = own.join(own.groupBy(*by).agg(said.alias("source")), by)
+    own = own.select("id", F.replace("evidence_quote", F.lit("period stood"), F.lit("peroid stood")).alias("quote"), F.col("value_raw").alias("value"), "source")
+    return grounding.grounded(own.repartition(spark.sparkContext.defaultParallelism, "id")).select("id", "status", "reason")
 
 
 # ---- blocks

@@ -290,11 +290,11 @@ def evidence_of_one(spark, sf_dir):
     return out.select("id", "page", "how", F.col("rect.y0").alias("y0"))
 
 
-@query("G9_merge", f"WITH {PAGED} SELECT doc_id * 10 + page_no AS fact_id, x0, x1, y0, y0 + 10 AS y1 FROM line WHERE page_no < 10")
+@query("G9_merge", f"WITH {PAGED} SELECT doc_id * 1000000 + page_no AS fact_id, x0, x1, y0, y0 + 10 AS y1 FROM line")
 def merge(spark, sf_dir):
     """All words of a page as boxes of one fact: a bar for each line."""
-    own = pages.text_words(table(spark, sf_dir, "documents")).where("page_no < 10")
-    return layout.merged_boxes(own.select((F.col("doc_id") * 10 + F.col("page_no")).alias("fact_id"), "x0", "y0", "x1", "y1")).select("fact_id", "x0", "x1", "y0", "y1")
+    own = pages.text_words(table(spark, sf_dir, "documents"))
+    return layout.merged_boxes(own.select((F.col("doc_id") * 1000000 + F.col("page_no")).alias("fact_id"), "x0", "y0", "x1", "y1")).select("fact_id", "x0", "x1", "y0", "y1")
 
 
 @query("G10_inside", f"WITH {PAGED} SELECT doc_id, count(*) AS n FROM line WHERE x1 >= 94 AND x0 <= 306 AND y0 + 10 >= 94 AND y0 <= 306 GROUP BY doc_id")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,43 @@ def test_gates(spark):
 def test_token(spark):
     rows = [("  ﬁeld \u00a0 of\tﬂax ", "field of flax"), ("", ""), (None, None)]
     assert all(r.t == r.want for r in spark.createDataFrame(rows, "s string, want string").withColumn("t", grounding.token(F.col("s"))).collect())
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_fuzzy_kernels_against_plain_tables():
+    r = random.Random(8)
+    for _ in range(120):
+        source = "".join(r.choice("abc de") for _ in range(r.randint(1, 60)))
+        n = r.randint(1, min(20, len(source)))
+        at = r.randint(0, len(source) - n)
+        quote = "".join(c if r.random() > 0.15 else r.choice("abcx") for c in source[at : at + n])
+        like = lambda a, b: 100.0 * (1 - plain_distance(a, b) / max(len(a), len(b), 1))
+        assert grounding.distance(quote, source) == plain_distance(quote, source) and grounding.lcs(quote, source) == plain_lcs(quote, source)
+        ratios = [200.0 * plain_lcs(quote, p) / (len(quote) + len(p)) for i in range(1 - n, len(source)) if (p := source[max(i, 0) : i + n])]
+        assert abs(grounding.partial_ratio(quote, source) - max(ratios)) < 1e-9
+        stride, last, best = max(1, n // 8), len(source) - n, (-1, -1, 0.0)
+        for i in range(0, last + 1, stride):
+            if like(quote, source[i : i + n]) > best[2]:
+                best = (i, i + n, like(quote, source[i : i + n]))
+        for i in range(max(0, best[0] - stride), min(last + 1, best[0] + stride + 1)):
+            if like(quote, source[i : i + n]) > best[2]:
+                best = (i, i + n, like(quote, source[i : i + n]))
+        assert grounding.best_window(quote, source) == best
