@@ -9,7 +9,6 @@ words of their own. Other columns are not read.
 from __future__ import annotations
 
 import re
-from statistics import median
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 
 from claimloom.operators.blocks import NUMERIC, numeric_token
 
-WORDS = pa.list_(pa.struct([("x0", pa.float64()), ("y0", pa.float64()), ("x1", pa.float64()), ("y1", pa.float64()), ("text", pa.string())]))
 LINES = (
     "doc_id long, page_no int, line_no int, x0 double, y0 double, x1 double, y1 double, mid double, size double, bold boolean, text string, "
     "words array<struct<x0: double, y0: double, x1: double, y1: double, text: string>>"
@@ -36,40 +34,50 @@ LABEL = r"^(?:[ivxlcIVXLC]{1,7}|[0-9]{1,4})$"
 
 
 # ---- lines
-def banded(words: list[dict], share: float = 0.6) -> list[list[dict]]:
-    """Words to lines: down the page and then across, each word joins the newest of the last three lines whose middle (a running
-    median) is within a share of the median height."""
-    if not words:
-        return []
-    mid = lambda w: (w["y0"] + w["y1"]) / 2
-    tall = [w["y1"] - w["y0"] for w in words if w["y1"] > w["y0"]]
-    tol = share * (median(tall) if tall else 8.0)
-    lines: list[list[dict]] = []
-    for w in sorted(words, key=lambda w: (mid(w), w["x0"])):
-        home = next((x for x in reversed(lines[-3:]) if abs(median(map(mid, x)) - mid(w)) <= tol), None)
+def banded(mid: np.ndarray, x0: np.ndarray, tall: np.ndarray, share: float = 0.6) -> list[np.ndarray]:
+    """Words to lines, as their places from left to right: down the page and then across, each word joins the newest of the last three
+    lines whose middle (a running median) is within a share of the median height. Words of one middle go the same way, so they
+    are dealt with at once."""
+    tall = tall[tall > 0]
+    tol = share * (float(np.median(tall)) if len(tall) else 8.0)
+    order = np.lexsort((x0, mid))
+    lines: list[tuple[float, list[np.ndarray]]] = []
+    for own in np.split(order, np.flatnonzero(np.diff(mid[order])) + 1):
+        at = float(mid[own[0]])
+        home = next((i for i in range(len(lines) - 1, max(-1, len(lines) - 4), -1) if abs(lines[i][0] - at) <= tol), None)
         if home is None:
-            lines.append([w])
+            lines.append((at, [own]))
         else:
-            home.append(w)
-    own = [sorted(x, key=lambda w: w["x0"]) for x in lines]
-    return sorted(own, key=lambda x: (median(map(mid, x)), x[0]["x0"]))
+            parts = [*lines[home][1], own]
+            lines[home] = float(np.median(mid[np.concatenate(parts)])), parts
+    across = [(m, w[np.argsort(x0[w], kind="stable")]) for m, w in ((m, np.concatenate(p)) for m, p in lines)]
+    return [w for _, w in sorted(across, key=lambda x: (x[0], x0[x[1][0]]))]
 
 
 def lines_of(words: DataFrame) -> DataFrame:
     """Lines of each page, in order, with their box, middle, median size, whether most of it is bold, and their words."""
 
     def page(key: tuple, t: pa.Table) -> pa.Table:
-        out = []
-        for n, x in enumerate(banded(t.to_pylist())):
-            box = [f(w[c] for w in x) for f, c in ((min, "x0"), (min, "y0"), (max, "x1"), (max, "y1"))]
-            bold = 2 * sum(bool(w["bold"]) for w in x) > len(x)
-            middle, size = median((w["y0"] + w["y1"]) / 2 for w in x), median(w["size"] for w in x)
-            out.append((key[0].as_py(), key[1].as_py(), n, *box, middle, size, bold, " ".join(w["text"] for w in x), [{k: w[k] for k in ("x0", "y0", "x1", "y1", "text")} for w in x]))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 6, pa.bool_(), pa.string(), WORDS]
-        names = ["doc_id", "page_no", "line_no", "x0", "y0", "x1", "y1", "mid", "size", "bold", "text", "words"]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    own = words.select("doc_id", F.col("page_no").cast("int").alias("page_no"), "x0", "y0", "x1", "y1", "text", "size", "bold")
+        x0, y0, x1, y1, size = (t[c].to_numpy() for c in ("x0", "y0", "x1", "y1", "size"))
+        bold = t["bold"].fill_null(False).to_numpy().astype(np.int64)
+        mid = (y0 + y1) / 2
+        lines = banded(mid, x0, y1 - y0)
+        own, n = np.concatenate(lines), np.array([len(x) for x in lines])
+        begin = np.cumsum(n) - n
+        text = t["text"].take(pa.array(own)).combine_chunks()
+        said = text.to_pylist()
+        middle = lambda v: [float(v[x[0]]) if v[x[0]] == v[x].min() == v[x].max() else float(np.median(v[x])) for x in lines]
+        struct = pa.StructArray.from_arrays([pa.array(x0[own]), pa.array(y0[own]), pa.array(x1[own]), pa.array(y1[own]), text], ["x0", "y0", "x1", "y1", "text"])
+        columns = [
+            pa.array([key[0].as_py()] * len(n), pa.int64()), pa.array([key[1].as_py()] * len(n), pa.int32()), pa.array(np.arange(len(n), dtype=np.int32)),
+            *(pa.array(f.reduceat(v[own], begin)) for f, v in ((np.minimum, x0), (np.minimum, y0), (np.maximum, x1), (np.maximum, y1))),
+            pa.array(middle(mid), pa.float64()), pa.array(middle(size), pa.float64()), pa.array(2 * np.add.reduceat(bold[own], begin) > n),
+            pa.array([" ".join(said[a : a + k]) for a, k in zip(begin.tolist(), n.tolist(), strict=True)], pa.string()),
+            pa.ListArray.from_arrays(pa.array(np.append(begin, len(own)).astype(np.int32)), struct),
+        ]
+        return pa.table(columns, ["doc_id", "page_no", "line_no", "x0", "y0", "x1", "y1", "mid", "size", "bold", "text", "words"])
+
+    own = words.select("doc_id", F.col("page_no").cast("int").alias("page_no"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "text", F.col("size").cast("double").alias("size"), "bold")
     return own.groupBy(*PAGE).applyInArrow(page, LINES)
 
 
