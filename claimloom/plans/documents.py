@@ -25,7 +25,7 @@ piece AS (SELECT doc_id, i, CASE WHEN trim(l, ' ') = '' THEN [NULL] ELSE regexp_
 flat AS (SELECT doc_id, i, unnest(range(len(ps))) AS j, unnest(ps) AS raw FROM piece),
 placed AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS n, raw FROM flat),
 page AS (SELECT doc_id, (n // {50 * columns})::INTEGER AS page_no, n % 50 AS row, n % {50 * columns} // 50 AS side, raw, regexp_replace(trim(raw, ' '), ' +', ' ', 'g') AS text, length(raw) - length(ltrim(raw, ' ')) AS lead, length(rtrim(raw, ' ')) AS reach FROM placed WHERE trim(raw, ' ') <> ''),
-line AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY row, side) - 1)::INTEGER AS line_no, 36.0 + 14 * row + 7 * side AS y0, 12.0 + side * {612 // columns + 6 if columns > 1 else 0} + 6 * lead AS x0, 12.0 + side * {612 // columns + 6 if columns > 1 else 0} + 6 * reach AS x1, string_split(text, ' ') AS words FROM page)"""
+line AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY row, side) - 1)::INTEGER AS line_no, (36 + 14 * row + 7 * side)::DOUBLE AS y0, (12 + side * {612 // columns + 6 if columns > 1 else 0} + 6 * lead)::DOUBLE AS x0, (12 + side * {612 // columns + 6 if columns > 1 else 0} + 6 * reach)::DOUBLE AS x1, string_split(text, ' ') AS words FROM page)"""
 
 
 PAGED = _paged(1)
@@ -106,7 +106,7 @@ def gutter(spark, sf_dir):
 u AS (SELECT *, coalesce(median(gap) FILTER (gap > -2) OVER (PARTITION BY doc_id, page_no), 2.0) AS usual FROM g),
 m AS (SELECT *, prev IS NULL OR gap > greatest(usual + 6, 9) OR regexp_matches(text, '{layout.MARKER}') OR before < 612 * 0.55 AS fresh FROM u),
 p AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS para, concat(CASE WHEN fresh OR (suffix(prev, '-') AND regexp_matches(text, '^\\p{{Ll}}')) THEN '' ELSE ' ' END, text) AS s FROM m)
-SELECT doc_id, page_no, para, min(line_no) AS line_no, sha256(trim(regexp_replace(string_agg(s, '' ORDER BY line_no), '\\s+', ' ', 'g'), ' ')) AS text, min(x0) AS x0, max(x1) AS x1 FROM p GROUP BY doc_id, page_no, para""")
+SELECT doc_id, page_no, para::BIGINT AS para, min(line_no) AS line_no, sha256(trim(regexp_replace(string_agg(s, '' ORDER BY line_no), '\\s+', ' ', 'g'), ' ')) AS text, min(x0) AS x0, max(x1) AS x1 FROM p GROUP BY doc_id, page_no, para""")
 def paras(spark, sf_dir):
     own = layout.paragraphs(paged_lines(spark, sf_dir).withColumn("col_width", F.lit(612.0)), layout.PAGE)
     return own.select("doc_id", "page_no", "para", "line_no", F.sha2("text", 256).alias("text"), "x0", "x1")
@@ -254,7 +254,7 @@ def chunks(spark, sf_dir):
     return own.select("doc_id", "chunk", F.size(plain).cast("long").alias("months"), first.alias("first"))
 
 
-@query("L10_tiles", "WITH n AS (SELECT n_regionkey, n_name, count(c_custkey) AS n, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS tile FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey, n_name) SELECT n_regionkey::BIGINT AS doc_id, tile::INTEGER AS tile, 1 AS nth, concat(n, ' accounts') AS text FROM n UNION ALL SELECT n_regionkey, tile, 2, n_name FROM n")
+@query("L10_tiles", "WITH n AS (SELECT n_regionkey, n_name, count(c_custkey) AS n, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS tile FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey, n_name) SELECT n_regionkey::BIGINT AS doc_id, tile::INTEGER AS tile, 1 AS nth, concat(n, ' accounts') AS text FROM n UNION ALL SELECT n_regionkey, tile::INTEGER, 2, n_name FROM n")
 def region_tiles(spark, sf_dir):
     """A slide for each region: its nations side by side, with the number of their customers above their names."""
     own = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_regionkey", "n_nationkey", "n_name").agg(F.count("c_custkey").alias("n"))
