@@ -1,10 +1,13 @@
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from claimloom.functions import grounding, keys, periods, validation, values
+from claimloom.operators import vocabulary
 from claimloom.plans import golden
+from claimloom.sources import ingest
 
 
 def test_goldens(spark):
@@ -122,3 +125,18 @@ def test_fuzzy_kernels_against_plain_tables():
             if like(quote, source[i : i + n]) > best[2]:
                 best = (i, i + n, like(quote, source[i : i + n]))
         assert grounding.best_window(quote, source) == best
+
+
+def test_sort_ratio_against_a_plain_table():
+    r = random.Random(9)
+    for _ in range(200):
+        a, b = (" ".join(r.choice(["oat", "rye", "wheat", "net", "sales"]) for _ in range(r.randint(0, 4))) for _ in range(2))
+        x, y = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
+        assert abs(vocabulary.sort_ratio(a, b) - (100.0 if not x + y else 200.0 * plain_lcs(x, y) / (len(x) + len(y)))) < 1e-9
+
+
+def test_files_by_glob(spark, tmp_path):
+    for name, data in (("a.bin", b"one"), ("b.bin", b""), ("c.txt", b"x")):
+        (tmp_path / name).write_bytes(data)
+    got = {(r.path.rsplit("/", 1)[-1], r.length, r.sha256) for r in ingest.files(spark, str(tmp_path / "*.bin")).collect()}
+    assert got == {("a.bin", 3, hashlib.sha256(b"one").hexdigest()), ("b.bin", 0, hashlib.sha256(b"").hexdigest())}
