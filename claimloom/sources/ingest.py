@@ -30,7 +30,7 @@ def cache_misses(blocks: DataFrame, cache: DataFrame, model: str) -> DataFrame:
 
 
 def files(spark: SparkSession, glob: str) -> DataFrame:
-    """Files of a glob with their content's hash; contents stay with the reader until asked for."""
+    """Files of a glob with their content's hash; contents stay with the reader until asked for. The reader leaves empty files out."""
     own = spark.read.format("binaryFile").load(glob)
     return own.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
