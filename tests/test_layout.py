@@ -220,3 +220,20 @@ def test_evidence_is_located(spark):
     assert got[5][0] == "value" and got[6] == ("none", [])
     hit = spark.createDataFrame([((0.0, 0.0, 10.0, 10.0), (15.0, 0.0, 20.0, 9.0)), ((0.0, 0.0, 10.0, 10.0), (17.0, 0.0, 20.0, 9.0)), ((0.0, 0.0, 1.0, 1.0), None)], "a struct<x0: double, y0: double, x1: double, y1: double>, b struct<x0: double, y0: double, x1: double, y1: double>")
     assert [r.h for r in hit.select(layout.inside(F.col("a"), F.col("b")).alias("h")).collect()] == [True, False, True]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_body_size_is_the_upper_median(spark):
+    rows = [(1, 0, s) for s in (8.0, 9.0, 9.0, 12.0, None)] + [(1, 1, None)] + [(1, 2, s) for s in (8.0, 9.0)]
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, size double")
+    assert {r.page_no: r.body_size for r in paged.dimensions(df).collect()} == {0: 9.0, 1: 10.0, 2: 9.0}
+    assert "collect_list(size#" not in plan(paged.dimensions(df))
+
+
+def test_texts_are_dealt_before_they_are_laid(spark):
+    one = spark.createDataFrame([(i, "a  b\n\nc") for i in range(50)], "doc_id long, text string").coalesce(1)
+    got = paged.text_words(one)
+    assert "Exchange" in plan(got) and sorted((r.x0, r.y0, r.text) for r in got.where("doc_id = 3").collect()) == [(12.0, 36.0, "a"), (12.0, 64.0, "c"), (30.0, 36.0, "b")]
