@@ -237,3 +237,16 @@ def test_texts_are_dealt_before_they_are_laid(spark):
     one = spark.createDataFrame([(i, "a  b\n\nc") for i in range(50)], "doc_id long, text string").coalesce(1)
     got = paged.text_words(one)
     assert "Exchange" in plan(got) and sorted((r.x0, r.y0, r.text) for r in got.where("doc_id = 3").collect()) == [(12.0, 36.0, "a"), (12.0, 64.0, "c"), (30.0, 36.0, "b")]
+
+
+def test_quote_is_found_where_it_stands_in_one_line():
+    word = lambda y, k: [{"x0": 10.0 * i, "y0": y, "x1": 10.0 * i + 6, "y1": y + 10, "text": "a"} for i in range(k)]
+    how, boxes = layout.located_in("a a a", "", word(10.0, 1) + word(30.0, 1) + word(50.0, 1) + word(70.0, 3), None)
+    assert how == "quote" and [b[1] for b in boxes] == [70.0]
+
+
+def test_pages_stay_dealt_when_facts_are_few(spark):
+    df, _ = frame(spark, put("one two three", 10, 10))
+    facts = spark.createDataFrame([(1, 1, 0, "one two three", "", None)], "fact_id long, doc_id long, page_no int, quote string, value string, block struct<x0: double, y0: double, x1: double, y1: double>")
+    got = layout.located(facts, df)
+    assert got.first().how == "quote" and "BroadcastHashJoin" not in plan(got)
