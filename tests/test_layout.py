@@ -250,3 +250,17 @@ def test_pages_stay_dealt_when_facts_are_few(spark):
     facts = spark.createDataFrame([(1, 1, 0, "one two three", "", None)], "fact_id long, doc_id long, page_no int, quote string, value string, block struct<x0: double, y0: double, x1: double, y1: double>")
     got = layout.located(facts, df)
     assert got.first().how == "quote" and "BroadcastHashJoin" not in plan(got)
+
+
+def _grid_of(rows, head=("Ash", "Birch")):
+    line = lambda label, a, b: [{"x0": x, "y0": 0.0, "x1": x + 6.0 * len(t), "y1": 10.0, "text": t} for x, t in ((40.0, label), (300.0, a), (420.0, b))]
+    return [line("-", *head)[1:], *(line(*r) for r in rows)]
+
+
+def test_figures_of_four_digits_are_no_head():
+    got = layout.table_of(_grid_of([("one", "4512", "3300."), ("two", "14512", "13300."), ("three", "4600", "2900")]), 612.0)
+    assert [(r["label"], [c["header"] for c in r["cells"]]) for r in got[1]] == [(x, ["Ash", "Birch"]) for x in ("one", "two", "three")]
+    got = layout.table_of(_grid_of([("one", "1999", "2001."), ("two", "1998", "2002."), ("three", "2003", "2004")]), 612.0)
+    assert [r["label"] for r in got[1]] == ["one", "two", "three"]
+    got = layout.table_of(_grid_of([("one", "451", "330"), ("two", "452", "331")], head=("2019", "2020")), 612.0)
+    assert [[c["header"] for c in r["cells"]] for r in got[1]] == [["2019", "2020"]] * 2
