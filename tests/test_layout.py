@@ -264,3 +264,28 @@ def test_figures_of_four_digits_are_no_head():
     assert [r["label"] for r in got[1]] == ["one", "two", "three"]
     got = layout.table_of(_grid_of([("one", "451", "330"), ("two", "452", "331")], head=("2019", "2020")), 612.0)
     assert [[c["header"] for c in r["cells"]] for r in got[1]] == [["2019", "2020"]] * 2
+
+
+def test_pages_are_folded_many_at_a_time(spark):
+    """Batches that end within pages, pages with middles that are close or equal, null keys, and no group for each page."""
+    rng = random.Random(5)
+    ws = [w for page in range(40) for i in range(30) for w in put(f"w{i} x", rng.randrange(500), 40 + 16 * (i // 2) + (rng.random() * 5 if page % 3 == 0 else 0), page % 7, page // 7)]
+    ws += put("no page", 10, 10, None, 900) + put("no document", 10, 10, 0, None)
+    df, dims = frame(spark, ws)
+    whole = {(r.doc_id, r.page_no, r.line_no): r for r in layout.lines_of(df).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {(r.doc_id, r.page_no, r.line_no): r for r in layout.lines_of(df).collect()} == whole
+        boxes = df.where("doc_id IS NOT NULL AND page_no IS NOT NULL").selectExpr("doc_id * 100 + page_no AS fact_id", "x0", "y0", "x1", "y1")
+        got = sorted(tuple(r) for r in layout.merged_boxes(boxes).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = {}
+    for w in ws:
+        if w[0] is not None and w[1] is not None:
+            by.setdefault(w[0] * 100 + w[1], []).append(w[2:6])
+    assert got == sorted((f, n, *b) for f, x in by.items() for n, b in enumerate(layout.barred(x), 1))
+    assert whole[900, None, 0].text == "no page" and whole[None, 0, 0].text == "no document"
+    for own in (layout.lines_of(df), layout.merged_boxes(boxes), layout.sections(df.selectExpr("doc_id", "1 AS nth", "size", "text"))):
+        assert "FlatMapGroups" not in plan(own)
+    assert "words" not in layout.lines_of(df, keep_words=False).columns
