@@ -289,3 +289,18 @@ def test_pages_stay_dealt_when_facts_are_few(spark):
     facts = spark.createDataFrame([(1, 1, 0, "one two three", "", None)], "fact_id long, doc_id long, page_no int, quote string, value string, block struct<x0: double, y0: double, x1: double, y1: double>")
     got = layout.located(facts, df)
     assert got.first().how == "quote" and "BroadcastHashJoin" not in plan(got)
+
+
+def test_pages_of_blocks_are_read_once(spark):
+    df, dims = frame(spark, grid())
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    assert assembly.build_blocks(df, dims.coalesce(1).mapInArrow(run, dims.schema)).count() == 1
+    assert seen.value == 1
+    lines = layout.lines_of(df)
+    assert "FlatMapGroups" not in plan(layout.tables_of(lines, layout.table_regions(lines), dims))
