@@ -5,9 +5,20 @@ A null text counts as empty, a null name is no file of any kind. Contents that r
 
 from __future__ import annotations
 
+import _hashlib
+import ctypes
+import re
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+PIECE = 128 << 20  # bytes of a file that one task reads whole
+BOM = b"\xef\xbb\xbf"
+
 
 def hashed(documents: DataFrame) -> DataFrame:
     return documents.withColumn("sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
@@ -30,9 +41,98 @@ def cache_misses(blocks: DataFrame, cache: DataFrame, model: str) -> DataFrame:
 
 
 def files(spark: SparkSession, glob: str) -> DataFrame:
-    """Files of a glob with their content's hash; contents stay with the reader until asked for. The reader leaves empty files out."""
+    """Files of a glob with their content's hash; the reader leaves empty files out. Contents of up to PIECE bytes stay with the reader until
+    asked for. Longer ones are hashed at once, a split a task, each going on from the hash's state after the split before, so no task reads
+    a whole one. Only files whose names the reader would unpack (.gz and the like), which it can't split, are read whole at any length."""
     own = spark.read.format("binaryFile").load(glob)
-    return own.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    hashes = lambda df: df.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    long = own.where(F.col("length") > PIECE).select("path", "length").collect()
+    if not long:
+        return hashes(own)
+    jvm = spark._jvm.org.apache.hadoop
+    codecs = jvm.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration())
+    packed = [_literal(r.path) for r in long if codecs.getCodec(jvm.fs.Path(r.path)) is not None]
+    plain = [r for r in long if _literal(r.path) not in packed]
+    out = hashes(own.where(F.col("length") <= PIECE))
+    if packed:
+        out = out.unionByName(hashes(spark.read.format("binaryFile").load(packed)))
+    with ThreadPoolExecutor(max(1, min(len(plain), spark.sparkContext.defaultParallelism))) as pool:
+        found = list(pool.map(lambda r: (r.path, r.length, _split_sha256(spark, r.path, r.length)), plain))
+    return out.unionByName(spark.createDataFrame(found, "path string, length long, sha256 string"))
+
+
+def _literal(path: str) -> str:
+    """A glob that fits this path alone."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
+class Sha256:
+    """SHA-256 whose state can go to another process; hashlib keeps its own. The state is OpenSSL's context, a flat structure of 112 bytes."""
+
+    def __init__(self, state: bytes | None = None):
+        self.lib, self.own = ctypes.CDLL(_hashlib.__file__), ctypes.create_string_buffer(state or b"", 256)
+        if state is None:
+            self.lib.SHA256_Init(self.own)
+
+    def update(self, data: bytes | pa.Buffer) -> None:
+        at = ctypes.c_void_p(data.address) if isinstance(data, pa.Buffer) else data
+        self.lib.SHA256_Update(self.own, at, ctypes.c_size_t(len(data)))
+
+    def state(self) -> bytes:
+        return self.own.raw
+
+    def hexdigest(self) -> str:
+        out = ctypes.create_string_buffer(32)
+        self.lib.SHA256_Final(out, ctypes.create_string_buffer(self.own.raw, 256))
+        return out.raw.hex()
+
+
+STEP = "at long, upto long, lines long, size long, state binary"
+
+
+def _lines_hashed(state: bytes, some: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Goes on with a hash over lines (at, line), with a line end before each but a file's first (some: there were lines before)."""
+
+    def run(batches):
+        sha, lines, size, starts = Sha256(state), 0, 0, []
+        for b in batches:
+            if not len(b):
+                continue
+            own = pa.array([b"\n"]).cast(b["line"].type)[0]
+            joined = pc.binary_join(pa.ListArray.from_arrays([0, len(b)], b["line"]), own)[0].as_buffer()
+            if some or lines:
+                sha.update(b"\n")
+            sha.update(joined)
+            lines, size = lines + len(b), size + len(joined) - len(b) + 1
+            starts += [b["at"][0].as_py(), b["at"][-1].as_py()]
+        if lines:
+            yield pa.RecordBatch.from_pylist([{"at": min(starts), "upto": max(starts), "lines": lines, "size": size, "state": sha.state()}], pa.schema([(c, pa.binary() if c == "state" else pa.int64()) for c in ("at", "upto", "lines", "size", "state")]))
+
+    return run
+
+
+def _split_sha256(spark: SparkSession, path: str, length: int, head: bytes = b"") -> str:
+    """Hash of a file that is read as lines, whatever its bytes, in the order of its splits. The reader drops a byte order mark at a file's
+    head, and doesn't tell whether its last line ended; the file's length does."""
+    rows = spark.read.text(_literal(path), lineSep="\n").select(F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("line"))
+    sha, lines, size, done = Sha256(), 0, 0, -1
+    sha.update(head)
+    state = sha.state()
+    for k in range(rows.rdd.getNumPartitions()):  # of one file, splits are partitions in their order, which is checked
+        step = rows.mapInArrow(_lines_hashed(state, lines > 0), STEP).rdd
+        for r in spark.sparkContext.runJob(step, list, [k]):
+            if r.at <= done:
+                raise RuntimeError(f"splits of {path} out of order")
+            done, lines, size, state = r.upto, lines + r.lines, size + r.size, bytes(r.state)
+    left = length - len(head) - size - lines  # -1: the last line has no end; 0: it has one
+    if left in (2, 3) and not head:
+        return _split_sha256(spark, path, length, BOM)
+    if left not in (-1, 0):
+        raise RuntimeError(f"{path} has changed while it was read")
+    sha = Sha256(state)
+    if left == 0:
+        sha.update(b"\n")
+    return sha.hexdigest()
 
 
 def latest_jobs(progress: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 
@@ -140,3 +141,25 @@ def test_files_by_glob(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {(r.path.rsplit("/", 1)[-1], r.length, r.sha256) for r in ingest.files(spark, str(tmp_path / "*.bin")).collect()}
     assert got == {("a.bin", 3, hashlib.sha256(b"one").hexdigest())}  # Spark's reader leaves empty files out
+
+
+def test_long_files_are_hashed_by_splits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "PIECE", 1000)
+    noise = random.Random(7).randbytes(9000)
+    contents = {"noise": noise, "ended": noise + b"\n", "lines": b"\n" * 5000, "one line": b"x" * 5000, "mark": ingest.BOM + noise, "mark, ended": ingest.BOM * 2 + noise + b"\n", "cr": b"a\r\nb\r" * 900,
+                "no [a-c]{1,2}*?": noise[:3001], "mark and end": ingest.BOM + b"\n" * 2000, "packed.gz": gzip.compress(noise), "short": b"short\n"}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    own = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.path.rsplit("/", 1)[-1]: (r.length, r.sha256) for r in ingest.files(spark, str(tmp_path / "*")).collect()}
+        (tmp_path / "packed.gz").unlink()
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # none of the others is read whole
+        assert ingest.files(spark, str(tmp_path / "*")).count() == len(contents) - 1
+        assert got["noise"][1] in {r.sha256 for r in ingest.files(spark, str(tmp_path / "*")).collect()}
+    finally:
+        for k in (*own, "spark.sql.sources.binaryFile.maxLength"):
+            spark.conf.unset(k)
+    assert got == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in contents.items()}
